@@ -40,14 +40,14 @@ def feature_vector(columns: Sequence[str]) -> Column:
 
 def as_vectors(df: DataFrame, id_col: str, features: Sequence[str] | str) -> DataFrame:
     """(id, vec) rows; rows with a missing feature have no distance and are left out."""
+    known = df.filter(F.col(id_col).isNotNull())
     if isinstance(features, str):
-        vec = F.col(features).cast("array<double>")
-    else:
-        vec = feature_vector(features)
-    rows = df.select(F.col(id_col).alias("id"), vec.alias("vec"))
-    return rows.filter(
-        F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
-    )
+        rows = known.select(F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("vec"))
+        return rows.filter(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
+    # one plain condition per column: a condition on the array as a whole would make the
+    # optimizer try every combination of the columns' definitions
+    complete = known.dropna(subset=list(features))
+    return complete.select(F.col(id_col).alias("id"), feature_vector(features).alias("vec"))
 
 
 def distance_between(a: Column, b: Column) -> Column:
@@ -380,8 +380,14 @@ def _visit(
     spread_queries = routed.join(load, ["ball", "piece"]).withColumn(
         "copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")
     )
-    spread_refs = ref_pieces.join(load, ["ball", "piece"]).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    wanted = load.select(
+        F.col("ball").alias("r_ball"), F.col("piece").alias("r_piece"), F.col("copies").alias("r_copies")
+    )
+    spread_refs = (
+        ref_pieces.withColumnsRenamed({"ball": "r_ball", "piece": "r_piece"})
+        .join(wanted, ["r_ball", "r_piece"])
+        .withColumn("r_copy", F.explode(F.sequence(F.lit(0), F.col("r_copies") - 1)))
+        .select("r_ball", "r_piece", "r_copy", F.col("vec").alias("r_vec"), "ids")
     )
 
     def search(query_part: pd.DataFrame, ref_part: pd.DataFrame) -> pd.DataFrame:
@@ -394,7 +400,7 @@ def _visit(
             ids,
             _matrix(query_part["vec"], width),
             [list(r) for r in ref_part["ids"]],
-            _matrix(ref_part["vec"], width),
+            _matrix(ref_part["r_vec"], width),
             k,
             drop_self,
         ):
@@ -407,10 +413,9 @@ def _visit(
             return out[["id", "vec", "ball", "found", "distances"]]
         return out[[bool(f) for f in found]]
 
-    keys = ["ball", "piece", "copy"]
     return (
-        spread_queries.groupBy(*keys)
-        .cogroup(spread_refs.groupBy(*keys))
+        spread_queries.groupBy("ball", "piece", "copy")
+        .cogroup(spread_refs.groupBy("r_ball", "r_piece", "r_copy"))
         .applyInPandas(search, schema)
     )
 

@@ -11,37 +11,41 @@ from pyspark.sql import functions as F
 from arealens.functions import round_even
 
 
-def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with mean and population standard deviation of each column."""
-    return df.agg(
-        *[
-            f(F.col(c)).alias(f"{c}_{name}")
-            for c in columns
-            for name, f in (("mean", F.avg), ("sd", F.stddev_pop))
-        ]
-    )
+def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population standard deviation of each column, from one aggregate.
+
+    The job hands two numbers per column to the driver, however long the table is.
+    """
+    row = df.agg(
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{i}") for i, c in enumerate(columns)],
+        *[F.stddev_pop(F.col(c).cast("double")).alias(f"sd_{i}") for i, c in enumerate(columns)],
+    ).first()
+    return {c: (row[f"mean_{i}"], row[f"sd_{i}"]) for i, c in enumerate(columns)}
 
 
 def zscore(
-    df: DataFrame, columns: Sequence[str], weights: Mapping[str, float] | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    weights: Mapping[str, float] | None = None,
+    moments: Mapping[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Standardise columns over all rows, with the population standard deviation.
 
     A constant column is only centred. ``weights`` scales chosen columns afterwards. The
-    moments come from one aggregate used as a scalar subquery: no window over all rows, no
-    join.
+    moments are fitted here unless given, and enter the plan as literals: no window over
+    all rows, no join.
     """
     weights = weights or {}
-    names = [n for c in columns for n in (f"{c}_mean", f"{c}_sd")]
-    moments = column_moments(df, columns).select(F.struct(*names)).scalar()
-    with_moments = df.withColumn("_moments", moments)
+    moments = moments or column_moments(df, columns)
 
     def scaled(c: str) -> Column:
-        sd = F.col("_moments")[f"{c}_sd"]
-        z = (F.col(c) - F.col("_moments")[f"{c}_mean"]) / F.when(sd == 0, 1.0).otherwise(sd)
+        mean, sd = moments[c]
+        if mean is None:
+            return F.lit(None).cast("double")
+        z = (F.col(c) - F.lit(float(mean))) / F.lit(float(sd) or 1.0)
         return z * F.lit(float(weights[c])) if c in weights else z
 
-    return with_moments.withColumns({c: scaled(c) for c in columns}).drop("_moments")
+    return df.withColumns({c: scaled(c) for c in columns})
 
 
 def gaussian(key: Column | str, seed: int, mean: float = 0.0, sd: float = 1.0) -> Column:
