@@ -110,15 +110,14 @@ def knn(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    if strategy != "balls":
-        held = merged.limit(SMALL_REFS + 1).collect()
-        if len(held) <= SMALL_REFS:
-            best = _search_small(query_rows, held, k, is_self, result_schema)
-        elif strategy == "small":
-            raise ValueError(f"more than {SMALL_REFS} distinct reference vectors")
-        else:
-            best = _search_balls(query_rows, merged, k, need, is_self, result_schema, probe)
+    held = merged.limit(SMALL_REFS + 1).collect() if strategy != "balls" else None
+    if held is not None and len(held) <= SMALL_REFS:
+        best = _search_small(query_rows, held, k, is_self, result_schema)
+    elif strategy == "small":
+        raise ValueError(f"more than {SMALL_REFS} distinct reference vectors")
     else:
+        # both are read several times from here on
+        query_rows, merged = cut(query_rows), cut(merged)
         best = _search_balls(query_rows, merged, k, need, is_self, result_schema, probe)
     ranked = best.select(
         "query_id", "neighbour_id", _rank_in_query(best).alias("rank"), "distance"
@@ -239,7 +238,6 @@ def _search_balls(
     probe: int | None,
 ) -> DataFrame:
     spark = query_rows.sparkSession
-    merged = cut(merged)
     n = merged.count()
     if n == 0:
         return spark.createDataFrame([], schema)

@@ -17,6 +17,7 @@ from arealens.operators.neighbours import (
     pca_scores,
 )
 from arealens.operators.scaling import percent_explained, resolve_features, zscore
+from arealens.session import cut
 from arealens.sources import fixed
 
 
@@ -61,6 +62,8 @@ def find_neighbours(
     columns whose median over each neighbourhood is returned as its centre.
     """
     features = resolve_features(groups, feature_groups)
+    # read by the moments, the search and the report: roll the areas up only once
+    profile = cut(profile)
     scaled = zscore(profile, scale or numeric_columns(profile, [id_col, name_col]), weights)
     kept = None
     if components is not None and pca_is_useful(features):

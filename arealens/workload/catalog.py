@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import profile_queries, relational_queries, series_queries  # noqa: F401
+from . import (  # noqa: F401
+    control_queries,
+    profile_queries,
+    relational_queries,
+    series_queries,
+    table_queries,
+)
 from .registry import ORACLES, QUERIES, Query
 
 

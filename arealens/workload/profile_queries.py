@@ -18,6 +18,8 @@ from arealens.operators.scaling import gaussian, percent_explained, resolve_feat
 from arealens.plans.profile import unit_profile
 from arealens.plans.search import find_neighbours, neighbourhood_centres, unit_by_name
 
+from arealens.session import cut
+
 from .registry import Tables, query
 from .views import (
     BANDS,
@@ -113,7 +115,7 @@ CUSTOMER_SPACE = ["balance", "mean_price", "pop_all", "long"]
 
 def customer_space(t: Tables, weights=None) -> DataFrame:
     """Standardised features of every customer."""
-    points = small_areas(t).select("area_id", "area_name", *CUSTOMER_SPACE)
+    points = cut(small_areas(t).select("area_id", "area_name", *CUSTOMER_SPACE))
     return zscore(points, CUSTOMER_SPACE, weights)
 
 
@@ -240,7 +242,7 @@ BAND_SPACE = [*BANDS, "balance", "mean_price"]
 @query()
 def neighbours_in_reduced_space(t: Tables) -> DataFrame:
     """Neighbours between the first three principal components."""
-    areas = small_areas(t).select("area_id", *BAND_SPACE)
+    areas = cut(small_areas(t).select("area_id", *BAND_SPACE))
     scores, ratios = pca_scores(zscore(areas, BAND_SPACE), "area_id", BAND_SPACE, 3)
     return knn(scores, "area_id", "scores", 3).withColumn("variance_kept", F.lit(percent_explained(ratios, 3)))
 
@@ -251,7 +253,7 @@ def neighbours_in_reduced_space(t: Tables) -> DataFrame:
 )
 def distances_in_rotated_space(t: Tables) -> DataFrame:
     """With all components kept, distances equal those between the features."""
-    areas = small_areas(t).select("area_id", *BAND_SPACE)
+    areas = cut(small_areas(t).select("area_id", *BAND_SPACE))
     scores, _ = pca_scores(zscore(areas, BAND_SPACE), "area_id", BAND_SPACE, len(BAND_SPACE))
     return rounded(knn(scores, "area_id", "scores", 3), ["distance"], 5).select("query_id", "rank", "distance")
 
