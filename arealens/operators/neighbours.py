@@ -151,43 +151,65 @@ def _merge_equal(rows: DataFrame, need: int) -> DataFrame:
 def _top_k(
     query_ids: np.ndarray,
     query_vecs: np.ndarray,
-    ref_ids: list[np.ndarray],
+    ref_ids: Sequence[Sequence],
     ref_vecs: np.ndarray,
     k: int,
     drop_self: bool,
-) -> Iterator[tuple[int, list, np.ndarray]]:
-    """(query position, ids, distances) of the best ``k`` per query, ordered by (distance, id).
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the best ``k`` per query row, ordered by (distance, id).
 
-    A matrix product preselects with a margin for its rounding; the distances of what is
+    Both are query x k matrices; a distance is infinite where a query has fewer than k. A
+    matrix product preselects with a margin for its rounding; the distances of what is
     left are recomputed directly.
     """
-    if not len(ref_vecs):
-        return
+    copies = [len(ids) for ids in ref_ids]
+    flat_ids = np.array([rid for ids in ref_ids for rid in ids])
+    vecs = np.repeat(ref_vecs, copies, axis=0) if len(ref_vecs) else ref_vecs
+    n, width = len(query_vecs), min(k, len(vecs))
+    best_ids = np.empty((n, width), dtype=flat_ids.dtype)
+    best = np.full((n, width), np.inf)
+    if not width:
+        return best_ids, best
+    id_rank = np.empty(len(flat_ids), dtype=np.int64)
+    id_rank[np.argsort(flat_ids, kind="stable")] = np.arange(len(flat_ids))
     # centring keeps the rounding error of the product relative to the spread of the data
-    centre = ref_vecs.mean(axis=0)
-    refs = ref_vecs - centre
+    centre = vecs.mean(axis=0)
+    refs = vecs - centre
     ref_norms = np.einsum("ij,ij->i", refs, refs)
     want = min(k + 1 if drop_self else k, len(refs))
-    step = max(1, SLICE_CELLS // len(refs))
-    for start in range(0, len(query_vecs), step):
+
+    def ordered(rows: np.ndarray, chosen: np.ndarray) -> None:
+        """Fill the result for these query rows from their chosen reference rows."""
+        diff = vecs[chosen] - query_vecs[rows][:, None, :]
+        exact = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        if drop_self:
+            exact[flat_ids[chosen] == query_ids[rows][:, None]] = np.inf
+        order = np.lexsort((id_rank[chosen], exact), axis=-1)[:, :width]
+        best[rows] = np.take_along_axis(exact, order, axis=1)
+        best_ids[rows] = flat_ids[np.take_along_axis(chosen, order, axis=1)]
+
+    step = max(1, SLICE_CELLS // (len(refs) + 16 * vecs.shape[1]))
+    for start in range(0, n, step):
         block = query_vecs[start : start + step] - centre
         norms = np.einsum("ij,ij->i", block, block)
         approx = norms[:, None] + ref_norms[None, :] - 2.0 * (block @ refs.T)
         kth = np.partition(approx, want - 1, axis=1)[:, want - 1]
-        margin = 1e-9 * (norms + ref_norms.max()) + 1e-300
-        near = approx <= (kth + margin)[:, None]
-        for i in range(len(block)):
-            chosen = np.flatnonzero(near[i])
-            diff = ref_vecs[chosen] - query_vecs[start + i]
-            exact = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            own = query_ids[start + i]
-            found = sorted(
-                (d, rid)
-                for d, c in zip(exact.tolist(), chosen.tolist())
-                for rid in ref_ids[c]
-                if not (drop_self and rid == own)
-            )[:k]
-            yield start + i, [rid for _, rid in found], np.array([d for d, _ in found])
+        near = approx <= (kth + 1e-9 * (norms + ref_norms.max()) + 1e-300)[:, None]
+        taken = min(want + 8, len(refs))
+        few = near.sum(axis=1) <= taken
+        rows = np.flatnonzero(few)
+        if len(rows):
+            part = approx[rows]
+            chosen = (
+                np.argpartition(part, taken - 1, axis=1)[:, :taken]
+                if taken < len(refs)
+                else np.tile(np.arange(len(refs)), (len(rows), 1))
+            )
+            ordered(start + rows, chosen)
+        # many near-equal distances: take all of them
+        for row in np.flatnonzero(~few):
+            ordered(np.array([start + row]), np.flatnonzero(near[row])[None, :])
+    return best_ids, best
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,14 +236,15 @@ def _search_small(
         ref_ids, ref_vecs = shared.value
         for batch in batches:
             ids = batch["id"].to_numpy()
-            out = {"query_id": [], "neighbour_id": [], "distance": []}
-            for i, found, distances in _top_k(
-                ids, _matrix(batch["vec"]), ref_ids, ref_vecs, k, drop_self
-            ):
-                out["query_id"].extend([ids[i]] * len(found))
-                out["neighbour_id"].extend(found)
-                out["distance"].extend(distances.tolist())
-            yield pd.DataFrame(out)
+            found, away = _top_k(ids, _matrix(batch["vec"]), ref_ids, ref_vecs, k, drop_self)
+            kept = np.isfinite(away)
+            yield pd.DataFrame(
+                {
+                    "query_id": np.repeat(ids, kept.sum(axis=1)),
+                    "neighbour_id": found[kept],
+                    "distance": away[kept],
+                }
+            )
 
     if not held:
         return spark.createDataFrame([], schema)
@@ -391,25 +414,23 @@ def _visit(
     def search(query_part: pd.DataFrame, ref_part: pd.DataFrame) -> pd.DataFrame:
         ids = query_part["id"].to_numpy()
         width = len(query_part["vec"].iloc[0]) if len(query_part) else 0
-        found: list = [[] for _ in ids]
-        distances: list = [[] for _ in ids]
-        bound = query_part["bound"].to_numpy()
-        for i, members, away in _top_k(
+        members, away = _top_k(
             ids,
             _matrix(query_part["vec"], width),
-            [list(r) for r in ref_part["ids"]],
+            ref_part["ids"].tolist(),
             _matrix(ref_part["r_vec"], width),
             k,
             drop_self,
-        ):
-            close = away <= bound[i] * (1 + 1e-9) + 1e-12
-            found[i] = [m for m, c in zip(members, close) if c]
-            distances[i] = away[close].tolist()
+        )
+        limit = query_part["bound"].to_numpy() * (1 + 1e-9) + 1e-12
+        close = np.isfinite(away) & (away <= limit[:, None])
+        found = [m[c] for m, c in zip(members, close)]
+        distances = [d[c] for d, c in zip(away, close)]
         out = pd.DataFrame({"id": ids, "found": found, "distances": distances})
         if keep_query:
             out["vec"], out["ball"] = query_part["vec"].to_numpy(), query_part["ball"].to_numpy()
             return out[["id", "vec", "ball", "found", "distances"]]
-        return out[[bool(f) for f in found]]
+        return out[close.any(axis=1)]
 
     return (
         spread_queries.groupBy("ball", "piece", "copy")
