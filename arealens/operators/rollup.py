@@ -105,4 +105,6 @@ def pivot_mean(
     df: DataFrame, rows: Sequence[str], column: str, values: Sequence, columns: Sequence[str]
 ) -> DataFrame:
     """Pivot with the mean of several columns, named ``<pivot value>_<column>``."""
-    return _pivot(df, rows, column, values, [F.avg(c).alias(c) for c in columns])
+    wide = _pivot(df, rows, column, values, [F.avg(c).alias(c) for c in columns])
+    # Spark leaves the column name out when there is only one
+    return wide.toDF(*rows, *[f"{v}_{c}" for v in values for c in columns])
