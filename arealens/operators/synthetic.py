@@ -5,24 +5,35 @@ The weights of one target minimise
     1/(2n) |y - X w|² + a r |w|₁ + a (1 - r)/2 |w|²,   w >= 0, no intercept,
 
 over n feature rows, with (a, r) chosen by contiguous cross-validation (Zou and Hastie
-2005; Friedman, Hastie and Tibshirani 2010). Targets are fitted in parallel, one row each.
+2005; Friedman, Hastie and Tibshirani 2010).
+
+A donor pool whose size was checked is shared with all tasks, and targets are fitted in
+parallel, one row each. A pool beyond that stays distributed: the fit then works on the
+dual of the problem, whose size is the number of feature rows, and each step sums small
+matrices over the donors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealens.session import cut, scratch_path
+
 from .allocation import share_of_total
 from .neighbours import knn, nearest_to
 
 MAX_DONOR_CELLS = 20_000_000  # donors x features a task may hold, 160 MB
 STEPS = 10_000  # active-set steps per fit
 TOLERANCE = 1e-9  # of the optimality conditions, relative to the largest |x'y|/n
+PASS_CELLS = 4_000_000  # numbers one pass over a distributed pool may sum, 32 MB
+ADDED_DONORS = 20  # donors one pass adds per problem to the working set of a pure l1 fit
 
 WEIGHT_SCHEMA = (
     "target {id}, donor {id}, weight double, alpha double, l1_ratio double, "
@@ -74,29 +85,25 @@ def fit_weights(
     l1_ratios: Sequence[float] = (0.1, 0.5, 0.9, 1.0),
     n_alphas: int = 21,
     folds: int = 10,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Positive donor weights of each target, with the chosen penalty and diagnostics.
 
     ``targets`` holds the wanted units in a column ``unit``; ``excluded`` lists
     (target, excluded) pairs, and a target is never its own donor. ``kkt`` is the largest
-    violation of the optimality conditions, relative to the largest |x'y|/n, and ``capped``
-    tells whether a fit stopped at the step limit.
+    violation of the optimality conditions, relative to the largest |x'y|/n (to the largest
+    |y| for a distributed pool), and ``capped`` tells whether a fit stopped at the step
+    limit.
 
-    The donor matrix is shared with every task after its size was checked.
+    ``strategy`` is "shared" (every task holds the donor matrix), "distributed", or "auto",
+    which shares a pool only after checking its size.
     """
     spark = vectors.sparkSession
-    width = vectors.select(F.size("vec").alias("n")).first()
     id_type = vectors.schema["unit"].dataType.simpleString()
     schema = WEIGHT_SCHEMA.format(id=id_type)
+    width = vectors.select(F.size("vec").alias("n")).first()
     if width is None:
         return spark.createDataFrame([], schema)
-    bound = max(1, MAX_DONOR_CELLS // max(1, width["n"]))
-    held = vectors.orderBy("unit").limit(bound + 1).collect()
-    if len(held) > bound:
-        raise ValueError(f"more than {bound} donors of {width['n']} features; narrow the pool")
-    shared = spark.sparkContext.broadcast(
-        ([r["unit"] for r in held], np.array([r["vec"] for r in held], dtype=float))
-    )
     wanted = targets.select("unit").distinct().join(vectors, "unit")
     if excluded is not None:
         listed = excluded.groupBy(F.col("target").alias("unit")).agg(
@@ -105,9 +112,26 @@ def fit_weights(
         wanted = wanted.join(listed, "unit", "left")
     else:
         wanted = wanted.withColumn("excluded", F.array().cast(f"array<{id_type}>"))
+    grid = tuple(l1_ratios)
+    bound = max(1, MAX_DONOR_CELLS // max(1, width["n"]))
+    held = vectors.limit(bound + 1).collect() if strategy != "distributed" else None
+    if held is not None and len(held) <= bound:
+        return _fit_shared(held, wanted, grid, n_alphas, folds, schema)
+    if strategy == "shared":
+        raise ValueError(f"more than {bound} donors of {width['n']} features")
+    return _fit_distributed(cut(vectors), wanted, grid, n_alphas, folds, schema)
+
+
+def _fit_shared(
+    held: list, wanted: DataFrame, grid: tuple, n_alphas: int, folds: int, schema: str
+) -> DataFrame:
+    spark = wanted.sparkSession
+    held = sorted(held, key=lambda r: r["unit"])
+    shared = spark.sparkContext.broadcast(
+        ([r["unit"] for r in held], np.array([r["vec"] for r in held], dtype=float))
+    )
     # a fit takes seconds, so targets are spread over all cores
     tasks = max(1, min(wanted.count(), 4 * spark.sparkContext.defaultParallelism))
-    grid = tuple(l1_ratios)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, donors = shared.value
@@ -137,6 +161,245 @@ def fit_weights(
     return wanted.repartition(tasks, "unit").mapInPandas(fit, schema)
 
 
+def _fit_distributed(
+    donors: DataFrame, wanted: DataFrame, grid: tuple, n_alphas: int, folds: int, schema: str
+) -> DataFrame:
+    """Fit targets a few at a time; the weights go from the tasks to a table.
+
+    The driver holds the vectors of the current targets and sums of feature-sized
+    matrices, never donors or weights.
+    """
+    spark = donors.sparkSession
+    path = scratch_path(spark, "weights")
+    spark.createDataFrame([], schema).write.parquet(path)
+    rows = wanted.toLocalIterator()
+    while first := next(rows, None):
+        n = len(first["vec"])
+        size = max(1, PASS_CELLS // (max(1, folds) * n * (n + 1)))
+        chunk = [first, *islice(rows, size - 1)]
+        _fit_chunk(donors, chunk, grid, n_alphas, folds, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _fit_chunk(
+    donors: DataFrame, chunk: list, grid: tuple, n_alphas: int, folds: int, schema: str
+) -> DataFrame:
+    context = donors.sparkSession.sparkContext
+    names = [r["unit"] for r in chunk]
+    y = np.array([r["vec"] for r in chunk], dtype=float)
+    barred: dict = {}
+    for t, r in enumerate(chunk):
+        for name in {r["unit"], *(r["excluded"] or ())}:
+            barred.setdefault(name, []).append(t)
+    shared_barred = context.broadcast(barred)
+    n = y.shape[1]
+
+    def allowed(units: pd.Series, of_target: np.ndarray) -> np.ndarray:
+        """Donor x problem matrix: False where the donor is barred for the problem's target."""
+        free = np.ones((len(units), len(names)), dtype=bool)
+        for i, unit in enumerate(units):
+            for t in shared_barred.value.get(unit, ()):
+                free[i, t] = False
+        return free[:, of_target]
+
+    def summed(per_batch: Callable, length: int) -> np.ndarray:
+        """Sum of vectors made from batches of donors, in two levels of tasks."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(length)
+            for batch in batches:
+                for start in range(0, len(batch), 512):
+                    total += per_batch(batch.iloc[start : start + 512])
+            yield pd.DataFrame({"total": [total]})
+
+        def added(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"total": [np.sum(part["total"].tolist(), axis=0)]})
+
+        parts = donors.mapInPandas(partial, "total array<double>")
+        some = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32)).alias("g"))
+        rows = some.applyInPandas(added, "total array<double>").collect()
+        return np.sum([r["total"] for r in rows], axis=0)
+
+    def evaluate(theta, l1, l2, of_target):
+        """Dual penalty, fitted values and curvature of every problem: one pass over the donors."""
+        m = len(theta)
+
+        def per_batch(batch: pd.DataFrame) -> np.ndarray:
+            x = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
+            score = x @ theta.T - l1
+            used = (score > 0) & allowed(batch["unit"], of_target)
+            w = np.where(used, score, 0.0) / l2
+            outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), n * n)
+            curved = (used / l2).T @ outer
+            return np.concatenate([(w * w * l2 / 2).sum(axis=0), (w.T @ x).ravel(), curved.ravel()])
+
+        total = summed(per_batch, m * (1 + n + n * n))
+        return total[:m], total[m : m + m * n].reshape(m, n), total[m + m * n :].reshape(m, n, n)
+
+    def solve(goal, masks, l1, l2, of_target, theta):
+        """Newton steps on the dual; returns theta, fitted values, violation, convergence."""
+        rows = masks.sum(axis=1)
+        scale = np.maximum(np.abs(goal).max(axis=1), np.finfo(float).tiny)
+
+        def value(at, penalty):
+            return (goal * at).sum(axis=1) - rows / 2 * (at * at).sum(axis=1) - penalty
+
+        penalty, fitted, curved = evaluate(theta, l1, l2, of_target)
+        best = value(theta, penalty)
+        for _ in range(100):
+            slope = (goal - rows[:, None] * theta - fitted) * masks
+            violation = np.abs(slope).max(axis=1) / scale
+            open_ = violation > 1e-8
+            if not open_.any():
+                break
+            system = curved * (masks[:, :, None] * masks[:, None, :])
+            system += rows[:, None, None] * np.eye(n)
+            move = np.linalg.solve(system, slope[:, :, None])[:, :, 0] * masks * open_[:, None]
+            gain = (slope * move).sum(axis=1)
+            length = np.ones(len(theta))
+            for _ in range(40):
+                at = theta + length[:, None] * move
+                penalty, fitted, curved = evaluate(at, l1, l2, of_target)
+                now = value(at, penalty)
+                short = now < best + 1e-4 * length * gain - 1e-11 * np.abs(best)
+                if not short.any():
+                    break
+                length = np.where(short, length / 2, length)
+            theta, best = at, now
+        return theta, fitted, violation, ~open_
+
+    working: dict = {}  # donors of pure l1 fits by name; at most n of them carry weight
+
+    def solve_l1(goal, masks, l1, of_target, start):
+        """Pure l1 fits on a working set that takes in violating donors until none is left.
+
+        ``start`` and the result map donors to weights, problem by problem.
+        """
+        m = len(goal)
+        while True:
+            units = sorted(working)
+            x = np.array([working[u] for u in units]).reshape(len(units), n).T
+            solved, theta, fitted, fine = [], np.zeros((m, n)), np.zeros((m, n)), np.ones(m, dtype=bool)
+            for j in range(m):
+                rows = masks[j] > 0
+                use = [c for c, u in enumerate(units) if of_target[j] not in barred.get(u, ())]
+                w = np.array([start[j].get(units[c], 0.0) for c in use])
+                if use:
+                    w, fine[j] = nonnegative_weights(x[rows][:, use], goal[j][rows], l1[j], 0.0, w)
+                    fitted[j] = x[:, use] @ w
+                theta[j] = (goal[j] - fitted[j]) * masks[j] / rows.sum()
+                solved.append({units[c]: v for c, v in zip(use, w) if v > 0})
+            scale = np.abs(goal).max(axis=1) ** 2
+            known = set(units)
+
+            def violating(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    vecs = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
+                    score = np.where(allowed(batch["unit"], of_target), vecs @ theta.T - l1, 0.0) / scale
+                    score[[u in known for u in batch["unit"]]] = 0.0
+                    d, j = np.nonzero(score > TOLERANCE)
+                    yield pd.DataFrame(
+                        {
+                            "j": j,
+                            "score": score[d, j],
+                            "unit": batch["unit"].to_numpy()[d],
+                            "vec": batch["vec"].to_numpy()[d],
+                        }
+                    )
+
+            unit_type = donors.schema["unit"].dataType.simpleString()
+            found = donors.mapInPandas(violating, f"j int, score double, unit {unit_type}, vec array<double>")
+            place = F.row_number().over(Window.partitionBy("j").orderBy(F.desc("score"), "unit"))
+            added = found.withColumn("place", place).filter(F.col("place") <= ADDED_DONORS).collect()
+            if not added:
+                return solved, theta, fitted, fine
+            working.update({r["unit"]: r["vec"] for r in added})
+            start = solved
+
+    every = np.arange(len(names))
+
+    def strongest(batch: pd.DataFrame) -> np.ndarray:
+        x = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
+        return np.where(allowed(batch["unit"], every), np.abs(x @ y.T), 0.0).max(axis=0)
+
+    def peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            top = strongest(batch)
+            yield pd.DataFrame({"t": every, "top": top})
+
+    tops = donors.mapInPandas(peaks, "t int, top double").groupBy("t").agg(F.max("top").alias("top"))
+    top = np.zeros(len(names))
+    for r in tops.collect():
+        top[r["t"]] = r["top"]
+    top = np.maximum(top / n, np.finfo(float).tiny * 1e6)
+    path = np.geomspace(1.0, 1e-3, n_alphas)
+
+    folds = min(folds, n)
+    held = np.zeros((max(1, folds), n))
+    for f, part in enumerate(np.array_split(np.arange(n), folds) if folds > 1 else [np.arange(n)]):
+        held[f, part] = 1.0
+    train = 1.0 - held if folds > 1 else np.ones((1, n))
+    errors = np.full((len(names), len(grid), n_alphas), np.inf)
+    fine = np.ones(len(names), dtype=bool)
+
+    def record(i: int, step: int, fitted: np.ndarray, done: np.ndarray) -> None:
+        missed = ((y[t] - fitted) ** 2 * held[f]).sum(axis=1) / held[f].sum(axis=1)
+        errors[:, i, step] = missed.reshape(len(names), -1).mean(axis=1)
+        np.logical_and(fine, done.reshape(len(names), -1).all(axis=1), out=fine)
+
+    t, f = np.repeat(every, len(held)), np.tile(np.arange(len(held)), len(names))
+    masks, goal = train[f], y[t] * train[f]
+    for i, ratio in enumerate(grid):
+        theta, start = goal / masks.sum(axis=1)[:, None], [{} for _ in t]
+        for step, share in enumerate(path):
+            alpha = share * top[t] / ratio
+            if ratio < 1:
+                theta, fitted, _, done = solve(goal, masks, alpha * ratio, alpha * (1 - ratio), t, theta)
+            else:
+                start, _, fitted, done = solve_l1(goal, masks, alpha, t, start)
+            record(i, step, fitted, done)
+    best = errors.reshape(len(names), -1).argmin(axis=1)
+    ratio = np.array(grid)[best // n_alphas]
+    alpha = path[best % n_alphas] * top / ratio
+    error = errors.reshape(len(names), -1)[every, best]
+    mixed, pure = np.flatnonzero(ratio < 1), np.flatnonzero(ratio >= 1)
+    tables = []
+    if len(mixed):
+        l1, l2 = (alpha * ratio)[mixed], (alpha * (1 - ratio))[mixed]
+        theta, _, violation, done = solve(y[mixed], np.ones((len(mixed), n)), l1, l2, mixed, y[mixed] / n)
+        capped = ~(fine[mixed] & done)
+
+        def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
+                score = np.where(allowed(batch["unit"], mixed), x @ theta.T - l1, 0.0)
+                d, k = np.nonzero(score > 0)
+                yield pd.DataFrame(
+                    {
+                        "target": [names[mixed[j]] for j in k],
+                        "donor": batch["unit"].to_numpy()[d],
+                        "weight": score[d, k] / l2[k],
+                        "alpha": alpha[mixed][k],
+                        "l1_ratio": ratio[mixed][k],
+                        "cv_mse": error[mixed][k],
+                        "kkt": violation[k],
+                        "capped": capped[k],
+                    }
+                )
+
+        tables.append(donors.mapInPandas(weights, schema))
+    if len(pure):
+        found, _, _, done = solve_l1(y[pure], np.ones((len(pure), n)), alpha[pure], pure, [{} for _ in pure])
+        # at most one donor per feature row carries weight in a pure l1 fit
+        rows = [
+            (names[j], donor, float(w), float(alpha[j]), 1.0, float(error[j]), TOLERANCE, not (fine[j] and done[k]))
+            for k, j in enumerate(pure)
+            for donor, w in found[k].items()
+        ]
+        tables.append(donors.sparkSession.createDataFrame(rows, schema))
+    return reduce(DataFrame.unionByName, tables)
+
+
 def alpha_path(x: np.ndarray, y: np.ndarray, l1_ratio: float, n_alphas: int) -> np.ndarray:
     """Log-spaced penalties from the smallest that zeroes all weights down to a thousandth."""
     top = np.abs(x.T @ y).max() / (len(y) * l1_ratio)
@@ -163,7 +426,7 @@ def nonnegative_weights(
     for _ in range(STEPS):
         while used.any():
             columns = np.flatnonzero(used)
-            goal = _unconstrained(x[:, columns], y, l1, l2)
+            goal = _unconstrained(x[:, columns], y, l1, l2, w[columns])
             negative = goal <= 0
             if not negative.any():
                 w[:] = 0.0
@@ -192,17 +455,31 @@ def nonnegative_weights(
     return w, False
 
 
-def _unconstrained(x: np.ndarray, y: np.ndarray, l1: float, l2: float) -> np.ndarray:
+def _unconstrained(
+    x: np.ndarray, y: np.ndarray, l1: float, l2: float, now: np.ndarray
+) -> np.ndarray:
+    """Minimiser without the sign condition.
+
+    Dependent columns without a ridge have none; the result then lies beyond the point
+    where the first weight on the way down reaches zero.
+    """
     n, p = x.shape
     pull = x.T @ y / n - l1
-    if p > n and l2 > 0:
+    if l2 > 0:
+        if p <= n:
+            return np.linalg.solve(x.T @ x / n + l2 * np.eye(p), pull)
         inner = np.eye(n) * (n * l2) + x @ x.T
         return (pull - x.T @ np.linalg.solve(inner, x @ pull)) / l2
-    gram = x.T @ x / n + l2 * np.eye(p)
-    try:
-        return np.linalg.solve(gram, pull)
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(gram, pull, rcond=None)[0]
+    _, sizes, axes = np.linalg.svd(x, full_matrices=True)
+    if p <= n and sizes[-1] > 1e-9 * sizes[0]:
+        return axes.T @ ((axes @ pull) * n / sizes**2)
+    free = axes[-1]
+    slope = x.T @ (y - x @ now) / n - l1
+    free = free if free @ slope >= 0 else -free
+    falling = free < -1e-12
+    if not falling.any():
+        return now
+    return now + 2 * (now[falling] / -free[falling]).min() * free
 
 
 def cross_validated_weights(

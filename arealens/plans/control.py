@@ -19,6 +19,7 @@ from arealens.operators.synthetic import (
     synthetic_trajectory,
     unit_vectors,
 )
+from arealens.session import cut
 from arealens.sources import fixed
 
 
@@ -83,13 +84,14 @@ def synthetic_control(
 
     ``places`` is (unit, lat, long), ``targets`` holds the column unit.
     """
-    series = only_in(rates, places.select("unit"), "unit")
+    # read by the features, the trajectories and the background
+    series = cut(only_in(rates, places.select("unit"), "unit"))
     features = pre_period_features(series, value, start, end, months_of_year)
-    vectors = unit_vectors(features, "unit", ["feature", "month"], "value")
+    vectors = cut(unit_vectors(features, "unit", ["feature", "month"], "value"))
     barred = only_in(
         exclusions(places, "unit", "lat", "long", exclude), targets.select(F.col("unit").alias("target")), "target"
     )
-    weights = fit_weights(vectors, targets, barred, l1_ratios, n_alphas, folds)
+    weights = cut(fit_weights(vectors, targets, barred, l1_ratios, n_alphas, folds))
     shown = sample_units(series, "unit", background, seed)
     return Control(
         weights=weights,

@@ -28,7 +28,7 @@ from arealens.session import cut
 
 from .registry import Tables, query
 from .series_queries import NATION_RATES_SQL, nation_rates
-from .views import SMALL_AREAS_SQL, knn_sql, rounded, small_areas
+from .views import knn_sql, rounded, small_areas
 
 PLACES = ["lat", "long"]
 
@@ -106,7 +106,7 @@ def nation_control(t: Tables):
         .groupBy(F.col("nation_code").alias("unit"))
         .agg(F.avg("lati").alias("lat"), F.avg("long").alias("long"))
     )
-    rates = cut(nation_rates(t).select("unit", "date", "rolling_rate"))
+    rates = nation_rates(t).select("unit", "date", "rolling_rate")
     return synthetic_control(
         rates, places, places.select("unit"), exclude=5, end="1999-01-01", l1_ratios=(0.5, 0.9, 1.0), n_alphas=11
     )
@@ -224,6 +224,3 @@ def scenario_effect_density(t: Tables) -> DataFrame:
     panel, model = _fitted(t)
     effects = scenario_effect(model, panel, FEATURES, "response", {"quantity": -5, "price": -10_000}, ["date", "area"])
     return kde(mean_effect(effects, "area"), "effect")
-
-
-__all__ = ["SMALL_AREAS_SQL"]

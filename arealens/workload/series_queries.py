@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealens.functions import recode
 from arealens.operators.allocation import allocate_to_children
 from arealens.operators.density import kde
 from arealens.operators.relational import join_on, only_in, sample_units
 from arealens.operators.series import daily_totals, features_long, monthly_features, rolling_mean, rolling_rate
 from arealens.operators.spatial import nearest_facility, polygon_measures
-from arealens.plans.areas import area_bridge, seasonal_cases, seasonal_cases_wide
+from arealens.plans.areas import seasonal_cases, seasonal_cases_wide
 
 from .registry import Tables, query
 from .views import (
@@ -20,13 +21,12 @@ from .views import (
     SEASONS,
     customer_bridge,
     nation_cases,
+    nation_code,
     recode_sql,
     rounded,
     season_sql,
 )
 
-__all__ = ["area_bridge"]
-
 DAILY_EVENTS_SQL = "daily as (select user_id, ts::date as date, count(*) as value from events group by all)"
 FRAME = "rows between 6 preceding and current row"
 
@@ -115,10 +115,6 @@ def background_trajectories(t: Tables) -> DataFrame:
 )
 def parent_totals_to_children(t: Tables) -> DataFrame:
     """Supplier totals per nation, spread over its customers by orders."""
-    from arealens.functions import recode
-
-    from .views import nation_code
-
     totals = (
         join_on(t.lineitem.select("l_suppkey", "l_linenumber"), t.supplier, {"l_suppkey": "s_suppkey"})
         .groupBy(recode(nation_code("s_nationkey"), CODES).alias("code"))
