@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from arealens.session import cut
 
-SMALL_REFS = 4096  # distinct reference vectors a task may hold
+SMALL_REFS = 16_384  # distinct reference vectors a task may hold
 PIECE_REFS = 2048  # reference vectors per piece of a ball
 PIECE_QUERIES = 4096  # query rows per piece of a ball
 MAX_PIVOTS = 4096
@@ -72,7 +72,7 @@ def nearest_to(
     order = Window.orderBy("distance", F.col("neighbour_id") != F.lit(target), "neighbour_id")
     # the window sees at most k rows
     return ranked.select(
-        F.lit(target).alias("query_id"),
+        F.lit(target).cast(rows.schema["id"].dataType).alias("query_id"),
         "neighbour_id",
         F.row_number().over(order).alias("rank"),
         "distance",

@@ -29,7 +29,7 @@ from arealens.session import cut, scratch_path
 from .allocation import share_of_total
 from .neighbours import knn, nearest_to
 
-MAX_DONOR_CELLS = 20_000_000  # donors x features a task may hold, 160 MB
+MAX_DONOR_CELLS = 4_000_000  # donors x features a task may hold, 32 MB
 STEPS = 10_000  # active-set steps per fit
 TOLERANCE = 1e-9  # of the optimality conditions, relative to the largest |x'y|/n
 PASS_CELLS = 4_000_000  # numbers one pass over a distributed pool may sum, 32 MB

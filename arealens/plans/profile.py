@@ -12,6 +12,7 @@ from arealens.functions import density, proportion, rate_per, spread
 from arealens.operators.quantiles import HEAVY_ROWS, quantile_specs
 from arealens.operators.rollup import rollup_units
 from arealens.operators.scaling import gaussian
+from arealens.session import cut
 from arealens.sources import fixed
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -49,8 +50,9 @@ def unit_profile(
 ) -> DataFrame:
     """Sums, means, medians, case quartiles, rates, spreads, density and proportions.
 
-    One pass and one shuffle over the small-area table; everything derived is added to the
-    few rows that remain.
+    One shuffle of the small-area table; everything derived is added to the few rows that
+    remain. Under "auto" the table is read twice, to size the units and to roll them up, so
+    the joins behind it are materialised first.
     """
     keys = level_columns(level, spec.levels)
     sums = [spec.area, spec.population, *spec.population_parts, *spec.groups]
@@ -61,6 +63,8 @@ def unit_profile(
         | {c: "sum" for c in sums}
         | {c: "mean" for c in spec.means}
     )
+    if strategy == "auto":
+        areas = cut(areas.select(*keys, *dict.fromkeys([*aggregates, *spec.cases])))
     profile = rollup_units(
         areas, keys, aggregates, quantile_specs(spec.cases, QUARTILES), strategy, heavy_rows
     )

@@ -65,22 +65,21 @@ def exclusions_of_every_unit(t: Tables) -> DataFrame:
     return exclusions(customer_places(t), "unit", *PLACES, 5)
 
 
-def region_weights(t: Tables) -> DataFrame:
-    """Donors of a nation: the other nations of its region, weighted by customers."""
+def given_weights(t: Tables) -> DataFrame:
+    """Three donors of every nation, weighted by their customers."""
     size = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    donors = t.nation.select(F.col("n_nationkey").alias("donor"), "n_regionkey")
-    targets = t.nation.select(F.col("n_nationkey").alias("target"), "n_regionkey")
-    listed = targets.join(donors, "n_regionkey").filter(F.col("target") != F.col("donor"))
+    donor = F.explode(F.array(*[((F.col("n_nationkey") + i) % 25) for i in (1, 7, 12)]))
+    listed = t.nation.select(F.col("n_nationkey").alias("target"), donor.alias("donor"))
     return join_on(listed, size, {"donor": "c_nationkey"}).select("target", "donor", (F.col("weight") / 1000).alias("weight"))
 
 
-REGION_WEIGHTS_SQL = """weights as (select a.n_nationkey as target, b.n_nationkey as donor, n / 1000 as weight
-  from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey
-  join (select c_nationkey, count(*)::double as n from customer group by 1) on c_nationkey = b.n_nationkey)"""
+GIVEN_WEIGHTS_SQL = """weights as (select n_nationkey as target, donor, n / 1000 as weight
+  from (select n_nationkey, (n_nationkey + unnest([1, 7, 12])) % 25 as donor from nation)
+  join (select c_nationkey, count(*)::double as n from customer group by 1) on c_nationkey = donor)"""
 
 
 @query(
-    f"""with {NATION_RATES_SQL}, {REGION_WEIGHTS_SQL},
+    f"""with {NATION_RATES_SQL}, {GIVEN_WEIGHTS_SQL},
     summed as (select target, date, sum(weight * rolling_rate) as total, count(rolling_rate) as present from weights join rates on unit = donor group by all),
     counted as (select target, count(*) as donors from weights group by 1)
     select unit as target, rates.date, round(rolling_rate, 4) as observed, case when present = donors then round(total, 4) end as synthetic
@@ -88,15 +87,15 @@ REGION_WEIGHTS_SQL = """weights as (select a.n_nationkey as target, b.n_nationke
 )
 def trajectories_of_given_weights(t: Tables) -> DataFrame:
     """Observed and weighted-donor series of every nation."""
-    table = synthetic_trajectory(region_weights(t), nation_rates(t), "unit", "date", "rolling_rate")
+    table = synthetic_trajectory(given_weights(t), nation_rates(t), "unit", "date", "rolling_rate")
     return rounded(table, ["observed", "synthetic"], 4)
 
 
 @query(
-    f"""with {REGION_WEIGHTS_SQL} select target, donor, weight, round(weight / sum(weight) over (partition by target), 6) as normalised_weight from weights"""
+    f"""with {GIVEN_WEIGHTS_SQL} select target, donor, weight, round(weight / sum(weight) over (partition by target), 6) as normalised_weight from weights"""
 )
 def normalised_donor_weights(t: Tables) -> DataFrame:
-    return rounded(normalised_weights(region_weights(t)), ["normalised_weight"])
+    return rounded(normalised_weights(given_weights(t)), ["normalised_weight"])
 
 
 def nation_control(t: Tables):

@@ -161,7 +161,7 @@ def customer_neighbours_by_balls(t: Tables) -> DataFrame:
 EMBEDDING_KNN_SQL = """with v as (select vec_id, embedding::double[] as e from embeddings),
   pairs as (select a.vec_id as query_id, b.vec_id as neighbour_id, list_distance(a.e, b.e) as distance from v a cross join v b)
   select query_id, neighbour_id, rank, round(distance, 6) as distance from (select *,
-    row_number() over (partition by query_id order by query_id <> neighbour_id, distance, neighbour_id) as rank from pairs)
+    row_number() over (partition by query_id order by query_id <> neighbour_id, distance, neighbour_id)::int as rank from pairs)
   where rank <= 6"""
 
 
@@ -188,7 +188,7 @@ def approximate_neighbours_recall(t: Tables) -> DataFrame:
 @query(
     f"""{CUSTOMER_SPACE_SQL}, q as (select * from scaled where area_id = (select min(area_id) from scaled where area_name = 'Customer#000000007')),
     d as (select q.area_id as query_id, s.area_id as neighbour_id, sqrt({" + ".join(f"(s.{c} - q.{c}) ^ 2" for c in CUSTOMER_SPACE)}) as distance from scaled s, q)
-    select query_id, neighbour_id, row_number() over (order by distance, query_id <> neighbour_id, neighbour_id) as rank, round(distance, 6) as distance
+    select query_id, neighbour_id, row_number() over (order by distance, query_id <> neighbour_id, neighbour_id)::int as rank, round(distance, 6) as distance
     from d order by distance, query_id <> neighbour_id, neighbour_id limit 8"""
 )
 def neighbours_of_one_customer(t: Tables) -> DataFrame:

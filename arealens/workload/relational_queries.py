@@ -152,8 +152,8 @@ def select_drop_rename(t: Tables) -> DataFrame:
 
 
 @query(
-    """select o_custkey, sum(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end) as fast,
-      sum(case when o_orderpriority in ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') then 1 else 0 end) as slow,
+    """select o_custkey, sum(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end)::bigint as fast,
+      sum(case when o_orderpriority in ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') then 1 else 0 end)::bigint as slow,
       count(*) as everything
     from orders group by o_custkey"""
 )
@@ -354,7 +354,7 @@ def left_and_lookup_joins(t: Tables) -> DataFrame:
 
 
 @query(
-    """with s as (select l_suppkey, l_shipdate::date as day, sum(cast(l_quantity as bigint)) as qty from lineitem group by 1, 2),
+    """with s as (select l_suppkey, l_shipdate::date as day, sum(cast(l_quantity as bigint))::bigint as qty from lineitem group by 1, 2),
     o as (select l_suppkey, o_orderdate::date as day, count(*) as n from lineitem join orders on o_orderkey = l_orderkey group by 1, 2)
     select l_suppkey, day, qty, n from s join o using (l_suppkey, day)"""
 )

@@ -160,7 +160,7 @@ pairs as (select a.{id_col} as query_id, b.{id_col} as neighbour_id, sqrt({squar
   from {table} a cross join {table} b),
 {name} as (select * from (select query_id, neighbour_id,
     row_number() over (partition by query_id
-      order by query_id <> neighbour_id, distance, neighbour_id) as rank, distance
+      order by query_id <> neighbour_id, distance, neighbour_id)::int as rank, distance
   from pairs) where rank <= {k + 1})
 """
 
