@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from arealens.session import cut
 
 SMALL_REFS = 16_384  # distinct reference vectors a task may hold
+SPREAD_REFS = 1024  # from here on query rows are spread over all tasks
 PIECE_REFS = 2048  # reference vectors per piece of a ball
 PIECE_QUERIES = 4096  # query rows per piece of a ball
 MAX_PIVOTS = 4096
@@ -248,6 +249,10 @@ def _search_small(
 
     if not held:
         return spark.createDataFrame([], schema)
+    if len(held) > SPREAD_REFS:
+        # the search of a row then costs far more than moving it
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        query_rows = query_rows.repartition(tasks, "id")
     return query_rows.mapInPandas(search, schema)
 
 

@@ -9,11 +9,12 @@ buckets are ordered. Both ways give the same numbers.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealens.session import cut
+
 HEAVY_ROWS = 2_000_000
 SPLITS = 256
 
@@ -73,6 +74,13 @@ def exact_quantiles(
     heavy = heavy_groups(rows, keys, heavy_rows)
     if heavy.isEmpty():
         return _by_percentile(rows, keys, specs)
+    return quantiles_with_heavy(rows, keys, specs, heavy)
+
+
+def quantiles_with_heavy(
+    rows: DataFrame, keys: Sequence[str], specs: Specs, heavy: DataFrame
+) -> DataFrame:
+    """Quantiles when ``heavy`` lists the groups too big for one task."""
     light_part = _by_percentile(rows.join(heavy, list(keys), "left_anti"), keys, specs)
     heavy_part = _by_split(rows.join(heavy, list(keys), "left_semi"), keys, specs)
     return light_part.unionByName(heavy_part)
@@ -89,17 +97,17 @@ def _by_split(rows: DataFrame, keys: Sequence[str], specs: Specs) -> DataFrame:
     long = rows.withColumns({c: F.col(c).cast("double") for c in columns}).unpivot(
         list(keys), columns, "_var", "_x"
     )
-    # equal values collapse before anything is ranked, so a repeated value is one row
-    counts = (
-        long.dropna(subset=["_x"]).groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    )
+    # equal values collapse before anything is ranked, so a repeated value is one row; read
+    # three times below, so the rows themselves are scanned only once
+    counts = cut(long.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n")))
     steps = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     cuts = counts.groupBy(*group).agg(
         F.array_distinct(F.percentile_approx("_x", steps, 10 * SPLITS)).alias("_cuts")
     )
     # every 16th cut point, to look a value up in two short steps
     sixteenths = F.filter("_cuts", lambda c, i: i % 16 == 15)
-    bucketed = counts.join(cuts.withColumn("_coarse", sixteenths), group)
+    known = counts.filter(F.col("_x").isNotNull())
+    bucketed = known.join(cuts.withColumn("_coarse", sixteenths), group)
     # a value's bucket is the number of cut points below it
     passed = 16 * F.size(F.filter("_coarse", lambda c: c < F.col("_x")))
     rest = F.size(F.filter(F.slice("_cuts", F.col("_passed") + 1, 16), lambda c: c < F.col("_x")))
@@ -164,7 +172,7 @@ def _by_split(rows: DataFrame, keys: Sequence[str], specs: Specs) -> DataFrame:
 
     result = lookup.select(*keys, *[interpolated(c, q).alias(n) for n, (c, q) in specs.items()])
     # groups whose values are all null still get a row
-    return rows.select(*keys).distinct().join(result, list(keys), "left")
+    return counts.select(*keys).distinct().join(result, list(keys), "left")
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], **options) -> DataFrame:
@@ -175,6 +183,3 @@ def quantile_specs(columns: Sequence[str], qs: Mapping[str, float]) -> dict[str,
     """Specs named ``<column>_<suffix>`` for several columns and quantiles."""
     return {f"{c}_{suffix}": (c, q) for c in columns for suffix, q in qs.items()}
 
-
-def combine(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, list(keys)), parts)

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from arealens.functions import null_safe_sum, weighted_mean
 
 from .columns import numeric_columns
-from .quantiles import HEAVY_ROWS, exact_quantiles, heavy_groups, quantile_aggregates, quantile_columns
+from .quantiles import (
+    HEAVY_ROWS,
+    exact_quantiles,
+    heavy_groups,
+    quantile_aggregates,
+    quantile_columns,
+    quantiles_with_heavy,
+)
 from .relational import join_on
 
 
@@ -35,15 +42,14 @@ def rollup_units(
     order = [*keys, *aggregates, *(quantiles or {})]
     if not specs:
         return rows.groupBy(*keys).agg(*plain.values()).select(*order)
-    if strategy == "auto":
-        strategy = "percentile" if heavy_groups(rows, keys, heavy_rows).isEmpty() else "split"
-        mixed = strategy == "split"
-    else:
-        mixed = False
-    if strategy == "percentile":
+    heavy = heavy_groups(rows, keys, heavy_rows) if strategy == "auto" else None
+    if strategy == "percentile" or (heavy is not None and heavy.isEmpty()):
         grouped = rows.groupBy(*keys).agg(*plain.values(), *quantile_aggregates(specs))
         return grouped.select(*keys, *plain, *quantile_columns(specs)).select(*order)
-    ranked = exact_quantiles(rows, keys, specs, "auto" if mixed else "split", heavy_rows)
+    if heavy is None:
+        ranked = exact_quantiles(rows, keys, specs, "split")
+    else:
+        ranked = quantiles_with_heavy(rows, keys, specs, heavy)
     if not plain:
         return ranked.select(*order)
     return rows.groupBy(*keys).agg(*plain.values()).join(ranked, list(keys)).select(*order)

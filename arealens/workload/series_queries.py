@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealens.functions import recode
@@ -174,29 +174,22 @@ def nearest_supplier(t: Tables) -> DataFrame:
 
 
 @query(
-    """with v as (select l_partkey as unit, l_linenumber as ring, l_orderkey * 8 + l_suppkey % 8 as seq, l_quantity as x, l_discount * 100 as y
-      from lineitem qualify row_number() over (partition by l_partkey, l_linenumber, l_orderkey * 8 + l_suppkey % 8 order by l_extendedprice) = 1),
+    """with v as (select o_custkey as unit, o_orderpriority as ring, o_orderkey as seq, o_totalprice / 1000 as x, date_diff('day', date '1995-01-01', o_orderdate::date) as y from orders),
     e as (select unit, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2
       from v window w as (partition by unit, ring order by seq)),
-    s as (select unit, sum(x * y2 - x2 * y) as c, sum((x + x2) * (x * y2 - x2 * y)) as mx, sum((y + y2) * (x * y2 - x2 * y)) as my from e group by 1)
-    select unit, round(abs(c) / 2, 4) as area from s"""
+    s as (select unit, sum(x * y2 - x2 * y) as c from e group by 1)
+    select unit, round(abs(c) / 2, 6) as area from s"""
 )
 def polygon_areas(t: Tables) -> DataFrame:
-    """Areas of rings made of order lines; the chunks are short, so most rings span several."""
-    first = Window.partitionBy("unit", "ring", "seq").orderBy("l_extendedprice")
-    vertices = (
-        t.lineitem.select(
-            F.col("l_partkey").alias("unit"),
-            F.col("l_linenumber").alias("ring"),
-            (F.col("l_orderkey") * 8 + F.col("l_suppkey") % 8).alias("seq"),
-            F.col("l_quantity").alias("x"),
-            (F.col("l_discount") * 100).alias("y"),
-            "l_extendedprice",
-        )
-        .withColumn("rn", F.row_number().over(first))
-        .filter("rn = 1")
+    """Areas of rings made of each customer's orders; most rings span several chunks."""
+    vertices = t.orders.select(
+        F.col("o_custkey").alias("unit"),
+        F.col("o_orderpriority").alias("ring"),
+        F.col("o_orderkey").alias("seq"),
+        (F.col("o_totalprice") / 1000).alias("x"),
+        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).alias("y"),
     )
-    return rounded(polygon_measures(vertices, "unit", chunk=20_000).select("unit", "area"), ["area"], 4)
+    return rounded(polygon_measures(vertices, "unit", chunk=2000).select("unit", "area"), ["area"])
 
 
 @query(

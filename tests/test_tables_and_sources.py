@@ -239,3 +239,49 @@ def test_district_tables(spark):
     spread = space.agg(F.stddev_pop("long").alias("w"), F.stddev_pop("imd_average_score").alias("u")).first()
     assert (spread["w"], spread["u"]) == (pytest.approx(0.5), pytest.approx(1.0))
     assert "noise" in space.columns
+
+
+# ---------------------------------------------------------------- stored tables
+def raw_tables(spark):
+    import datetime
+
+    codes = [f"E0100000{i}" for i in range(5)]
+    day = datetime.date(2021, 3, 5)
+    return {
+        "outlines": squares(spark),
+        "area_lookup": lookup(spark),
+        "tier_lookup": spark.createDataFrame([(f"E0800000{i}", f"U{i}", f"Upper{i}") for i in range(2)], schemas.LTLA_UTLA_2021),
+        "admissions": spark.createDataFrame([("T1", "One", "d1", 3)], schemas.TRUST_API),
+        "trust_register": spark.createDataFrame([("T1", "One", "P1")], "area_code string, area_name string, post_code string"),
+        "postcodes": spark.createDataFrame([("P1", 500.0, 0.0)], schemas.POSTCODES),
+        "ages": spark.createDataFrame([(c, 100 + i, 20, 20, 20, 20, 20 + i) for i, c in enumerate(codes)], schemas.AGE_RAW),
+        "deprivation": spark.createDataFrame([(c, i + 1, 2, 3, 4) for i, c in enumerate(codes)], schemas.IMD_RAW),
+        "ethnicity": spark.createDataFrame([(c, 50, 1, 2, 3, 4, 40 + i) for i, c in enumerate(codes)], schemas.ETHNICITY_RAW),
+        "cases": spark.createDataFrame([(f"E0800000{i}", day, 100) for i in range(2)], schemas.CASES),
+        "rt": spark.createDataFrame([("Lad0", day, 1.1, 1.0, 1.2, 0.9)], schemas.RT_RAW),
+        "mobility": spark.createDataFrame([("GB", "Kent", datetime.date(2021, 9, 1), *[1.0] * 6)], schemas.MOBILITY_RAW),
+        "mobility_lookup": spark.createDataFrame([("Kent", "E08000000", "Lad0")], schemas.MOBILITY_LOOKUP),
+    }
+
+
+def test_tables_are_built_once_stored_and_used(spark, tmp_path):
+    from arealens.plans.search import find_neighbours
+    from arealens.plans.store import AreaTables
+
+    folder = str(tmp_path / "store")
+    first = AreaTables(spark, folder, raw_tables(spark))
+    assert {n: first[n].count() for n in first.names()} == {
+        "locations": 6, "trust_map": 5, "lexicon": 5, "ages": 5, "deprivation": 5, "ethnicity": 5,
+        "cases_by_season": 5, "cases_by_date": 5, "rt": 1, "mobility": 1,
+    }
+    assert first["cases_by_season"].agg(F.sum("nc_sprng_2021")).first()[0] == pytest.approx(200, abs=0.05)
+    # without raw input everything still comes from the folder
+    again = AreaTables(spark, folder)
+    full = again.full()
+    assert full.count() == 5 and again.full(with_cases=False).count() == 5
+    found = find_neighbours(unit_profile(full, "MSOA"), "MSOA11CD_APPX", "MSOA11NM_APPX", ["Space", "IMD"], nn=1)
+    assert found.table.count() == 4
+    again.export_csv("rt", str(tmp_path / "rt.csv"))
+    assert read_csv(spark, str(tmp_path / "rt.csv")).count() == 1
+    with pytest.raises(KeyError):
+        AreaTables(spark, str(tmp_path / "empty"))["ages"]
