@@ -336,23 +336,25 @@ def _search_balls(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inner, outer, nearest_members, pieces = geometry.value
         gaps = pivots_shared.value[2]
-        step = max(1, SLICE_CELLS // max(1, nearest_members.size))
+        step = max(1, SLICE_CELLS // len(outer))
         for batch in batches:
             for start in range(0, len(batch), step):
                 part = batch.iloc[start : start + step]
                 away, slack = to_pivots(_matrix(part["vec"]))
                 home = part["ball"].to_numpy()
-                # any `need` known members bound the k-th distance from above
-                through = (away[:, :, None] + nearest_members[None, :, :]).reshape(len(part), -1)
-                bound = np.partition(through, need - 1, axis=1)[:, need - 1]
-                seen = np.array([d[k - 1] if len(d) >= k else np.inf for d in part["distances"]])
-                bound = np.minimum(bound + slack, seen)
+                bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in part["distances"]])
+                # where the first piece held too few, any `need` known members give a bound
+                for i in np.flatnonzero(np.isinf(bound)):
+                    through = (away[i][:, None] + nearest_members).ravel()
+                    bound[i] = np.partition(through, need - 1)[need - 1] + slack[i]
                 own = away[np.arange(len(part)), home]
                 least = np.maximum(away - outer[None, :], inner[None, :] - away)
                 gap = gaps[home]
-                # members of another ball lie beyond the bisector of the two pivots
+                # members of another ball lie beyond the bisector of the two pivots; rounding
+                # of the distances weighs more the closer the pivots are
+                beyond = (away**2 - own[:, None] ** 2) / 2 - slack[:, None] * (away + own[:, None])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    bisector = (away**2 - own[:, None] ** 2) / (2 * gap)
+                    bisector = beyond / (gap + slack[:, None])
                 least = np.maximum(least, np.where(gap > 0, bisector, -np.inf))
                 visit = least <= (bound + slack)[:, None]
                 if probe is not None:
