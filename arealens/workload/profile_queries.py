@@ -16,7 +16,12 @@ from arealens.operators.neighbours import (
 from arealens.operators.rollup import rollup_units
 from arealens.operators.scaling import gaussian, percent_explained, resolve_features, zscore
 from arealens.plans.profile import unit_profile
-from arealens.plans.search import find_neighbours, neighbourhood_centres, unit_by_name
+from arealens.plans.search import (
+    city_neighbours,
+    find_neighbours,
+    neighbourhood_centres,
+    unit_by_name,
+)
 
 from arealens.session import cut
 
@@ -266,3 +271,38 @@ def distances_in_rotated_space(t: Tables) -> DataFrame:
 def zscore_of_order_counts(t: Tables) -> DataFrame:
     """One standardised column straight from the order table."""
     return rounded(zscore(order_summary(t).select("o_custkey", "pop_all"), ["pop_all"]), ["pop_all"])
+
+
+NOISE_SQL = """noisy as (select c_custkey as area_id, sqrt(-2 * ln((('0x' || md5(c_custkey || ':420:r')[:13])::bigint::double + 0.5) / 16 ^ 13))
+  * cos(2 * pi() * ((('0x' || md5(c_custkey || ':420:a')[:13])::bigint::double + 0.5) / 16 ^ 13)) as noise from customer)"""
+
+
+@query(
+    f"""with {NOISE_SQL}, {knn_sql('noisy', 'area_id', ['noise'], 3)}
+    select query_id, neighbour_id, rank, round(distance, 6) as distance from near"""
+)
+def neighbours_on_noise(t: Tables) -> DataFrame:
+    """With no feature group chosen the match is on the noise column."""
+    noisy = t.customer.select(F.col("c_custkey").alias("area_id"), gaussian("c_custkey", 420).alias("noise"))
+    return rounded(knn(noisy, "area_id", resolve_features([], FEATURES), 3), ["distance"])
+
+
+CITIES_SQL = """cities as (select c_name, c_acctbal as lat, (c_custkey % 1009)::double as lng, c_mktsegment as iso3 from customer
+  join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey where c_mktsegment = 'BUILDING' and n > 5)"""
+
+
+@query(
+    f"""with {CITIES_SQL}, {knn_sql('cities', 'c_name', ['lat', 'lng'], 3)}
+    select query_id, neighbour_id, rank, round(distance, 6) as distance, iso3, lat, lng as lon from near join cities on c_name = neighbour_id"""
+)
+def large_city_neighbours(t: Tables) -> DataFrame:
+    """Customers as cities: those of one segment with enough orders, and their nearest."""
+    population = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("population"))
+    cities = t.customer.join(population, F.col("c_custkey") == F.col("o_custkey")).select(
+        F.col("c_name").alias("city_ascii"),
+        F.col("c_acctbal").alias("lat"),
+        (F.col("c_custkey") % 1009).cast("double").alias("lng"),
+        F.col("c_mktsegment").alias("iso3"),
+        "population",
+    )
+    return rounded(city_neighbours(cities, 4, "BUILDING", 5.0), ["distance"])

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealens.operators.relational import join_on
+from arealens.operators.neighbours import knn
+from arealens.operators.scaling import resolve_features
 from arealens.plans import areas, districts
+from arealens.session import cut
 from arealens.sources import fixed
 
 from .registry import Tables, query
-from .views import BANDS, rounded
+from .views import BANDS, knn_sql, rounded, zscore_sql
 
 
 def area_code(column: str):
@@ -331,3 +334,32 @@ def upper_tier_location(t: Tables) -> DataFrame:
     )
     table = districts.upper_tier_location(location.drop("c_nationkey"), lookup)
     return rounded(table, ["long", "lat"])
+
+
+DISTRICT_SPACE = resolve_features(["age", "deprivation", "spatial"], fixed.DISTRICT_FEATURE_GROUPS)
+
+
+@query(
+    f"""with {DISTRICT_ORDERS_SQL}, {DISTRICTS_SQL},
+    pop as (select code, count(*) as pop_total, count(*) filter (age < 16) / count(*) as pop_00_15_prop, count(*) filter (age between 16 and 75) / count(*) as pop_16_75_prop,
+      count(*) filter (age > 75) / count(*) as pop_76_90_prop, coalesce(sum(age + 1) filter (age < 90), 0) / count(*) as age_mean from d group by 1),
+    place as (select c_nationkey || '-' || c_mktsegment as code, avg(c_acctbal) as long, avg(c_custkey) as lat, count(*) * 1e6::double as st_areashape from customer group by 1),
+    whole as (select *, pop_total / (st_areashape / 1e6) as pop_density from pop join domains using (code) join place using (code)),
+    {zscore_sql('whole', ['code'], DISTRICT_SPACE, 'plain')},
+    scaled as (select code, {", ".join(f"{c} * {fixed.DISTRICT_WEIGHTS.get(c, 1.0)} as {c}" for c in DISTRICT_SPACE)} from plain),
+    {knn_sql('scaled', 'code', DISTRICT_SPACE, 5)}
+    select query_id, neighbour_id, rank, round(distance, 6) as distance from near"""
+)
+def district_neighbours(t: Tables) -> DataFrame:
+    """Districts matched on age, deprivation and space, with some features halved."""
+    location = t.customer.groupBy(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("lad19cd")).agg(
+        F.avg("c_acctbal").alias("long"),
+        F.avg("c_custkey").alias("lat"),
+        (F.count(F.lit(1)) * 1e6).alias("st_areashape"),
+    )
+    bands = districts.population_bands(district_population(t))
+    table = cut(
+        districts.lower_tier_table(location, bands, districts.lower_tier_deprivation(deprivation_domains(t)))
+    )
+    space = districts.scaled_district_space(table, "lad19cd")
+    return rounded(knn(space, "lad19cd", DISTRICT_SPACE, 5), ["distance"])
