@@ -29,9 +29,9 @@ from arealens.session import cut
 
 SMALL_REFS = 16_384  # distinct reference vectors a task may hold
 SPREAD_REFS = 1024  # from here on query rows are spread over all tasks
-PIECE_REFS = 2048  # reference vectors per piece of a ball
-PIECE_QUERIES = 4096  # query rows per piece of a ball
-MAX_PIVOTS = 4096
+PIECE_REFS = 8192  # reference vectors per piece of a ball
+PIECE_QUERIES = 8192  # query rows per piece of a ball
+MAX_PIVOTS = 2048  # their distance matrix, shared with every task, takes 32 MB
 SLICE_CELLS = 2_000_000  # distance-matrix cells held at once
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neighbours import knn
-from .relational import join_on
+from .relational import first_per_key, join_on
 
 CHUNK_VERTICES = 4096
 
@@ -37,7 +37,8 @@ def nearest_facility(
     )
     if not carry:
         return found
-    return join_on(found, facilities.select(facility_id, *carry).dropDuplicates([facility_id]), facility_id)
+    payload = first_per_key(facilities.select(facility_id, *carry), [facility_id], list(carry))
+    return join_on(found, payload, facility_id)
 
 
 def polygon_measures(

@@ -141,8 +141,8 @@ def scaled_district_space(
     table: DataFrame, id_col: str, seed: int = 420, weights: Mapping[str, float] = fixed.DISTRICT_WEIGHTS
 ) -> DataFrame:
     """Standardised, partly down-weighted features, with a noise column added afterwards."""
-    columns = list(
-        dict.fromkeys(c for c in [*POPULATION_COLUMNS, *fixed.DISTRICT_FEATURE_GROUPS["spatial"], *fixed.DISTRICT_FEATURE_GROUPS["deprivation"]] if c in table.columns)
-    )
+    groups = fixed.DISTRICT_FEATURE_GROUPS
+    listed = [*POPULATION_COLUMNS, *groups["spatial"], *groups["deprivation"]]
+    columns = [c for c in dict.fromkeys(listed) if c in table.columns]
     present = {c: w for c, w in weights.items() if c in columns}
     return zscore(table, columns, present).withColumn("noise", gaussian(id_col, seed))
