@@ -59,30 +59,49 @@ def polygon_measures(
     Edges are formed inside chunks of ``chunk`` sequence numbers, so a ring of any length
     is spread over tasks; only the ends of the chunks are linked ring by ring.
     """
-    points = vertices.select(
+    points = vertices.dropna(subset=[x, y]).select(
         F.col(unit).alias("unit"),
         F.col(ring).alias("ring"),
         F.col(seq).alias("seq"),
         F.floor(F.col(seq) / F.lit(chunk)).alias("chunk"),
-        F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("p"),
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
     )
     in_chunk = Window.partitionBy("unit", "ring", "chunk").orderBy("seq")
-    inner = points.withColumn("next", F.lead("p").over(in_chunk)).filter(F.col("next").isNotNull())
-    ends = points.groupBy("unit", "ring", "chunk").agg(
-        F.min_by("p", "seq").alias("first"), F.max_by("p", "seq").alias("p")
+    rows = points.withColumns(
+        {
+            "next_x": F.lead("x").over(in_chunk),
+            "next_y": F.lead("y").over(in_chunk),
+            "head": F.lag("seq").over(in_chunk).isNull(),
+        }
+    )
+    tail = F.col("next_x").isNull()
+    inner = rows.filter(~tail)
+    # one row per chunk, in the partitioning the window left
+    ends = (
+        rows.filter(tail | F.col("head"))
+        .groupBy("unit", "ring", "chunk")
+        .agg(
+            *[F.max(F.when(F.col("head"), F.col(c))).alias(f"first_{c}") for c in ("x", "y")],
+            *[F.max(F.when(tail, F.col(c))).alias(c) for c in ("x", "y")],
+        )
     )
     in_ring = Window.partitionBy("unit", "ring").orderBy("chunk")
-    links = ends.withColumn(
-        "next", F.coalesce(F.lead("first").over(in_ring), F.first("first").over(in_ring))
+    links = ends.withColumns(
+        {
+            f"next_{c}": F.coalesce(
+                F.lead(f"first_{c}").over(in_ring), F.first(f"first_{c}").over(in_ring)
+            )
+            for c in ("x", "y")
+        }
     )
 
     def sums(edges: DataFrame) -> DataFrame:
-        a, b = F.col("p"), F.col("next")
-        cross = a["x"] * b["y"] - b["x"] * a["y"]
+        cross = F.col("x") * F.col("next_y") - F.col("next_x") * F.col("y")
         return edges.groupBy("unit").agg(
             F.sum(cross).alias("cross"),
-            F.sum((a["x"] + b["x"]) * cross).alias("mx"),
-            F.sum((a["y"] + b["y"]) * cross).alias("my"),
+            F.sum((F.col("x") + F.col("next_x")) * cross).alias("mx"),
+            F.sum((F.col("y") + F.col("next_y")) * cross).alias("my"),
         )
 
     total = (

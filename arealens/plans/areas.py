@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arealens.functions import (
     drop_last_char,
+    in_period,
     null_safe_sum,
     recode,
     round_even,
@@ -134,7 +135,10 @@ def seasonal_cases(
     if grain not in ("season", "date"):
         raise ValueError("grain must be season or date")
     rows = cases if prefix is None else cases.filter(F.col("areaCode").startswith(prefix))
-    kept = rows.withColumn("season", season_of(F.col("date").cast("date"), seasons, other)).filter(
+    day = F.col("date").cast("date")
+    # the span of all seasons is a plain range, which the scan can use to skip data
+    span = in_period(day, min(s for _, s, _ in seasons), max(e for _, _, e in seasons))
+    kept = rows.filter(span).withColumn("season", season_of(day, seasons, other)).filter(
         ~F.col("season").startswith("other")
     )
     totals = (

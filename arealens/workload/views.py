@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from arealens.functions import in_period, null_safe_sum, recode
 from arealens.operators.relational import star_join
 from arealens.plans.profile import ProfileSpec
+from arealens.session import cut
 
 from .registry import Tables
 
@@ -191,11 +192,13 @@ nation_cases as (
 def customer_bridge(t: Tables) -> DataFrame:
     """(LSOA Code, LAD21CD, pop_all_ages): customers with their recoded nation and orders."""
     orders = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("pop_all_ages"))
-    return t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey")).select(
+    bridge = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("c_custkey").alias("LSOA Code"),
         recode(nation_code("c_nationkey"), CODES).alias("LAD21CD"),
         "pop_all_ages",
     )
+    # read for the children and for their parents' totals
+    return cut(bridge)
 
 
 def recode_sql(expression: str) -> str:
