@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arealens.session import scratch_path
 
-from . import decontaminate, exact, mixing, warc
+from . import decontaminate, exact, language, mixing, warc
 
 #: Target weights of the sources; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -38,6 +38,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_table(spark, folder, "documents"), digest_all=True)
 
@@ -110,7 +114,7 @@ ORACLES: dict[str, str] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_decontamination, op3_warc, op7_exact_dedup, op8_mixing)
+    f.__name__: f for f in (op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing)
 }
 
 
