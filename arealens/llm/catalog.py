@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arealens.session import scratch_path
 
-from . import decontaminate, exact, language, mixing, warc
+from . import decontaminate, exact, jaccard, language, mixing, warc
 
 #: Target weights of the sources; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -50,6 +50,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
 
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, folder, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS2 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontaminate.WORD}')"
 
@@ -114,7 +118,7 @@ ORACLES: dict[str, str] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing)
+    f.__name__: f for f in (op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing, op9_ngram_jaccard)
 }
 
 
