@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from arealens.session import scratch_path
 
-from . import decontaminate, exact, jaccard, language, mixing, warc
+from . import decontaminate, exact, jaccard, language, mixing, tokens, warc
 
 #: Target weights of the sources; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0}
 MIX_SEED = 7
+TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +55,13 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, folder, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    return tokens.count_tokens(_table(spark, folder, "documents"), str(path), TOKEN_LIMIT)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS2 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontaminate.WORD}')"
 
@@ -118,7 +126,7 @@ ORACLES: dict[str, str] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing, op9_ngram_jaccard)
+    f.__name__: f for f in (op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts)
 }
 
 
