@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arealens.session import scratch_path
 
-from . import decontaminate, exact, jaccard, language, mixing, tokens, warc
+from . import decontaminate, exact, jaccard, language, mixing, pii, tokens, warc
 
 #: Target weights of the sources; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -21,6 +21,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_private(_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < pii.KINDS.index("term"))
+    counts = [
+        F.size(F.filter("spans", lambda s: s["kind"] == F.lit(i))).cast("long").alias(f"n_{pii.KINDS[i]}")  # noqa: B023
+        for i in range(5)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
@@ -126,7 +141,7 @@ ORACLES: dict[str, str] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts)
+    f.__name__: f for f in (op1_pii, op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts)
 }
 
 
