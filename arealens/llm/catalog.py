@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealens.session import scratch_path
 
-from . import decontaminate, exact, jaccard, language, mixing, pii, tokens, warc
+from . import decontaminate, exact, jaccard, language, mixing, pii, substrings, suffixes, tokens, warc
 
 #: Target weights of the sources; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -54,6 +54,20 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _digest_columns(found: DataFrame, size: str, *more: Column) -> DataFrame:
+    return found.select("doc_id", F.col("n").alias(size), "n_removed", *more, "kept_sha256")
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.drop_repeated_passages(_table(spark, folder, "documents"), texts=False)
+    return _digest_columns(found, "n_words")
+
+
+def op6_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.drop_repeated_bytes(_table(spark, folder, "documents"), texts=False)
+    return _digest_columns(found, "n_bytes", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
@@ -141,7 +155,7 @@ ORACLES: dict[str, str] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pii, op2_decontamination, op3_warc, op5_language, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts)
+    f.__name__: f for f in (op1_pii, op2_decontamination, op3_warc, op4_substring_dedup, op5_language, op6_suffix_array, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts)
 }
 
 
