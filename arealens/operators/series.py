@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arealens.functions import month_of, month_start, null_safe_sum, rate_per
 
-from .quantiles import exact_quantiles, quantile_specs
+from .quantiles import exact_quantiles, quantile_aggregates, quantile_columns, quantile_specs
 from .relational import join_on
 
 
@@ -28,6 +28,18 @@ def daily_totals(df: DataFrame, unit: str, date: str, value: str | None = None,
     )
 
 
+def complete_days(daily: DataFrame, unit: str, value: str, date: str = "date") -> DataFrame:
+    """(unit, date, value) for every unit and every day of the table's span; days without a row count 0.
+
+    Each unit's days are written out from the first and last day of the whole table, so the
+    result has a row per unit and calendar day and nothing is multiplied but that.
+    """
+    low, high = daily.agg(F.min(date), F.max(date)).first()
+    days = F.explode(F.sequence(F.lit(low).cast("date"), F.lit(high).cast("date"))).alias(date)
+    frame = daily.select(unit).distinct().select(unit, days)
+    return frame.join(daily.select(unit, date, value), [unit, date], "left").fillna(0, [value])
+
+
 def rolling_mean(
     daily: DataFrame, unit: str, date: str, value: str, name: str, rows: int = 7
 ) -> DataFrame:
@@ -82,7 +94,12 @@ def monthly_features(
     qs = qs or {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     key = month_of(date) if month_of_year else month_start(date)
     keyed = series.withColumn("month", key)
-    features = exact_quantiles(keyed, [unit, "month"], quantile_specs([value], qs), strategy)
+    specs = quantile_specs([value], qs)
+    if with_mean and strategy == "percentile":  # one aggregation for both
+        mean = F.avg(value).alias(f"{value}_mean")
+        grouped = keyed.dropna(subset=[unit, "month"]).groupBy(unit, "month").agg(*quantile_aggregates(specs), mean)
+        return grouped.select(unit, "month", *quantile_columns(specs), f"{value}_mean")
+    features = exact_quantiles(keyed, [unit, "month"], specs, strategy)
     if not with_mean:
         return features
     means = keyed.groupBy(unit, "month").agg(F.avg(value).alias(f"{value}_mean"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealens.session import cut, scratch_path
+from arealens.sources import fixed
 
 from .allocation import share_of_total
 from .neighbours import knn, nearest_to
@@ -52,12 +53,24 @@ def donor_pool(
 
 
 def exclusions(
-    units: DataFrame, unit: str, lat: str, long: str, exclude: int
+    units: DataFrame, unit: str, lat: str, long: str, exclude: int, targets: DataFrame | None = None
 ) -> DataFrame:
-    """(target, excluded) for every unit: itself and its ``exclude`` nearest ones."""
-    return knn(units, unit, [lat, long], exclude).select(
-        F.col("query_id").alias("target"), F.col("neighbour_id").alias("excluded")
-    )
+    """(target, excluded) for every unit, or the listed ones: itself and its ``exclude`` nearest ones.
+
+    With ``targets`` only their own neighbourhoods are searched. A unit is nearest to itself;
+    where units share a place it may not be among the first, so it is always listed.
+    """
+    if targets is None:
+        found = knn(units, unit, [lat, long], exclude)
+        return found.select(F.col("query_id").alias("target"), F.col("neighbour_id").alias("excluded"))
+    asked = units.join(targets.select(F.col("unit").alias(unit)).distinct(), unit, "left_semi")
+    near = knn(asked, unit, [lat, long], exclude + 1, refs=units)
+    near = near.select(F.col("query_id").alias("target"), F.col("neighbour_id").alias("excluded"), "rank")
+    near = near.filter(F.col("excluded") != F.col("target"))
+    order = Window.partitionBy("target").orderBy("rank")  # exclude + 1 rows at most
+    others = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= exclude).select("target", "excluded")
+    own = asked.select(F.col(unit).alias("target"), F.col(unit).alias("excluded"))
+    return own.unionByName(others)
 
 
 def unit_vectors(
@@ -65,16 +78,17 @@ def unit_vectors(
 ) -> DataFrame:
     """(unit, vec): the features of each unit as one array, in the given order.
 
-    Units that miss a feature are left out, as no distance to them is defined. The array
-    length is the number of months times the number of quantiles.
+    The features are all that occur in the table. A unit that misses one is left out, as no
+    distance to it is defined (``target_status`` tells which): cells of one position always
+    belong to the same feature. ``n_features`` states the number of features instead.
     """
-    packed = features.dropna(subset=[value]).groupBy(unit).agg(
+    known = features.dropna(subset=[value])
+    packed = known.dropDuplicates([unit, *order]).groupBy(unit).agg(
         F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_p")
     )
     vectors = packed.select(F.col(unit).alias("unit"), F.transform("_p", lambda p: p["_v"]).alias("vec"))
     if n_features is None:
-        length = vectors.agg(F.max(F.size("vec"))).scalar()
-        return vectors.withColumn("_n", length).filter(F.size("vec") == F.col("_n")).drop("_n")
+        n_features = known.select(*order).distinct().count()
     return vectors.filter(F.size("vec") == n_features)
 
 
@@ -82,9 +96,9 @@ def fit_weights(
     vectors: DataFrame,
     targets: DataFrame,
     excluded: DataFrame | None = None,
-    l1_ratios: Sequence[float] = (0.1, 0.5, 0.9, 1.0),
-    n_alphas: int = 21,
-    folds: int = 10,
+    l1_ratios: Sequence[float] = fixed.L1_RATIOS,
+    n_alphas: int = fixed.N_ALPHAS,
+    folds: int = fixed.N_FOLDS,
     strategy: str = "auto",
 ) -> DataFrame:
     """Positive donor weights of each target, with the chosen penalty and diagnostics.
@@ -122,6 +136,21 @@ def fit_weights(
     return _fit_distributed(cut(vectors), wanted, grid, n_alphas, folds, schema)
 
 
+def target_status(targets: DataFrame, vectors: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row per wanted target: what came of it, and how exact its fit is.
+
+    ``status`` is "fitted", "features missing" (no complete vector), or "no weight" (all weights
+    are zero, or no donor is left).
+    """
+    fits = weights.groupBy("target").agg(
+        F.count(F.lit(1)).alias("donors"), F.max("kkt").alias("kkt"), F.max("capped").alias("capped")
+    )
+    known = vectors.select(F.col("unit").alias("target"), F.lit(True).alias("_known")).distinct()
+    rows = targets.select(F.col("unit").alias("target")).distinct().join(known, "target", "left").join(fits, "target", "left")
+    status = F.when(F.col("donors") > 0, "fitted").when(F.col("_known"), "no weight").otherwise("features missing")
+    return rows.select("target", status.alias("status"), F.coalesce("donors", F.lit(0)).alias("donors"), "kkt", "capped")
+
+
 def _fit_shared(
     held: list, wanted: DataFrame, grid: tuple, n_alphas: int, folds: int, schema: str
 ) -> DataFrame:
@@ -158,7 +187,7 @@ def _fit_shared(
                     }
                 )
 
-    return wanted.repartition(tasks, "unit").mapInPandas(fit, schema)
+    return wanted.repartition(tasks).mapInPandas(fit, schema)
 
 
 def _fit_distributed(

@@ -138,9 +138,7 @@ def seasonal_cases(
     day = F.col("date").cast("date")
     # the span of all seasons is a plain range, which the scan can use to skip data
     span = in_period(day, min(s for _, s, _ in seasons), max(e for _, _, e in seasons))
-    kept = rows.filter(span).withColumn("season", season_of(day, seasons, other)).filter(
-        ~F.col("season").startswith("other")
-    )
+    kept = rows.filter(span).withColumn("season", season_of(day, seasons, other)).filter(F.col("season") != other)
     totals = (
         kept.withColumn("LAD21CD", recode("areaCode", codes))
         .dropna(subset=["LAD21CD"])

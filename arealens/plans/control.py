@@ -17,6 +17,7 @@ from arealens.operators.synthetic import (
     fit_weights,
     normalised_weights,
     synthetic_trajectory,
+    target_status,
     unit_vectors,
 )
 from arealens.session import cut
@@ -29,6 +30,7 @@ class Control:
     donors: DataFrame
     trajectory: DataFrame
     background: DataFrame
+    status: DataFrame
 
 
 def district_rates(cases: DataFrame, population: DataFrame, start: str = fixed.CONTROL_SERIES_FROM) -> DataFrame:
@@ -88,9 +90,7 @@ def synthetic_control(
     series = cut(only_in(rates, places.select("unit"), "unit"))
     features = pre_period_features(series, value, start, end, months_of_year)
     vectors = cut(unit_vectors(features, "unit", ["feature", "month"], "value"))
-    barred = only_in(
-        exclusions(places, "unit", "lat", "long", exclude), targets.select(F.col("unit").alias("target")), "target"
-    )
+    barred = exclusions(places, "unit", "lat", "long", exclude, targets)
     weights = cut(fit_weights(vectors, targets, barred, l1_ratios, n_alphas, folds))
     shown = sample_units(series, "unit", background, seed)
     return Control(
@@ -98,4 +98,5 @@ def synthetic_control(
         donors=normalised_weights(weights),
         trajectory=synthetic_trajectory(weights, series, "unit", "date", value),
         background=only_in(series, shown, "unit").select("unit", "date", value),
+        status=target_status(targets, vectors, weights),
     )

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":  # local-cluster has several processes
         folder = tempfile.mkdtemp(prefix="arealens-")
         spark.conf.set(CHECKPOINT_CONF, folder)
         return folder

@@ -32,8 +32,16 @@ def read_headerless_csv(
 
 
 def read_text_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A landed sheet whose header is not the first row: all columns stay strings."""
-    return spark.read.option("header", False).option("mode", "PERMISSIVE").options(**options).csv(path)
+    """A landed sheet whose header is not the first row: all columns stay strings.
+
+    Rows may have any number of cells, so the width comes from the widest line and not from
+    the first; cells a row lacks are null.
+    """
+    mark = options.get("sep", ",")
+    cells = F.size(F.split("value", rf"\Q{mark}\E", -1))
+    width = spark.read.text(path).agg(F.max(cells)).first()[0] or 1
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    return spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").options(**options).csv(path)
 
 
 def read_sheets(

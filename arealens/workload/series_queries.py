@@ -9,7 +9,7 @@ from arealens.functions import recode
 from arealens.operators.allocation import allocate_to_children
 from arealens.operators.density import kde
 from arealens.operators.relational import join_on, only_in, sample_units
-from arealens.operators.series import daily_totals, features_long, monthly_features, rolling_mean, rolling_rate
+from arealens.operators.series import complete_days, daily_totals, features_long, monthly_features, rolling_mean, rolling_rate
 from arealens.operators.spatial import nearest_facility, polygon_measures
 from arealens.plans.areas import seasonal_cases, seasonal_cases_wide
 
@@ -42,8 +42,11 @@ def rolling_week_per_user(t: Tables) -> DataFrame:
     return rounded(rolling_mean(daily, "user_id", "date", "value", "rolling"), ["rolling"])
 
 
-NATION_RATES_SQL = f"""daily as (select c_nationkey as unit, o_orderdate::date as date, count(*) as cases
+NATION_RATES_SQL = f"""seen as (select c_nationkey as unit, o_orderdate::date as date, count(*) as cases
     from orders join customer on c_custkey = o_custkey group by all),
+  days as (select unnest(generate_series(min(date), max(date), interval 1 day))::date as date from seen),
+  daily as (select unit, date, coalesce(cases, 0) as cases
+    from (select distinct unit from seen) cross join days left join seen using (unit, date)),
   pop as (select c_nationkey as code, count(*) as pop_total from customer group by 1),
   rated as (select unit, date, cases, pop_total, case when count(cases) over w = 7 then avg(cases) over w end as rolling_mean
     from daily join pop on code = unit window w as (partition by unit order by date {FRAME})),
@@ -53,7 +56,7 @@ NATION_RATES_SQL = f"""daily as (select c_nationkey as unit, o_orderdate::date a
 def nation_rates(t: Tables) -> DataFrame:
     """Rolling order rate per 100k customers by nation and day."""
     located = join_on(t.orders, t.customer.select("c_custkey", F.col("c_nationkey").alias("unit")), {"o_custkey": "c_custkey"})
-    daily = daily_totals(located, "unit", "o_orderdate", name="cases")
+    daily = complete_days(daily_totals(located, "unit", "o_orderdate", name="cases"), "unit", "cases")
     population = t.customer.groupBy(F.col("c_nationkey").alias("code")).agg(F.count(F.lit(1)).alias("pop_total"))
     return rolling_rate(daily, population, {"unit": "code"}, "date", "cases", "pop_total", start="1996-01-01")
 
