@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,12 @@ def as_vectors(df: DataFrame, id_col: str, features: Sequence[str] | str) -> Dat
     return complete.select(F.col(id_col).alias("id"), feature_vector(features).alias("vec"))
 
 
+def distance_to(features: Sequence[str], origin: Column) -> Column:
+    """Euclidean distance of plain columns to a constant vector, as one compiled expression."""
+    squares = [(F.col(c).cast("double") - origin[i]) * (F.col(c).cast("double") - origin[i]) for i, c in enumerate(features)]
+    return F.sqrt(reduce(lambda total, x: total + x, squares))
+
+
 def distance_between(a: Column, b: Column) -> Column:
     squares = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (p["a"] - p["b"]) * (p["a"] - p["b"]))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
@@ -60,9 +67,11 @@ def nearest_to(
     df: DataFrame, id_col: str, features: Sequence[str], target, k: int
 ) -> DataFrame:
     """The ``k`` rows closest to one row, itself first; a take-ordered plan, no shuffle."""
-    rows = as_vectors(df, id_col, features)
-    origin = rows.filter(F.col("id") == F.lit(target)).select("vec").limit(1).scalar()
-    distance = distance_between(F.col("vec"), F.col("_origin"))
+    rows = df.filter(F.col(id_col).isNotNull()).dropna(subset=list(features))
+    rows = rows.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"_f{i}") for i, c in enumerate(features)])
+    plain = [f"_f{i}" for i in range(len(features))]
+    origin = rows.filter(F.col("id") == F.lit(target)).select(feature_vector(plain).alias("vec")).limit(1).scalar()
+    distance = distance_to(plain, F.col("_origin"))
     ranked = (
         rows.withColumn("_origin", origin)
         .select(F.col("id").alias("neighbour_id"), distance.alias("distance"))
@@ -491,11 +500,13 @@ def neighbour_report(
     return neighbours.join(raw_part, "neighbour_id").join(scaled_part, "neighbour_id")
 
 
-def neighbour_sentence(neighbours: DataFrame, names: DataFrame, id_col: str, name_col: str) -> DataFrame:
+def neighbour_sentence(
+    neighbours: DataFrame, names: DataFrame, id_col: str, name_col: str, on_noise: bool = False
+) -> DataFrame:
     """One sentence per query naming its neighbours in rank order.
 
     The collected list holds the k neighbours of one query. With three or more of them the
-    last name is joined by "and".
+    last name is joined by "and". A match on noise is said to be one.
     """
     label = names.select(F.col(id_col).alias("neighbour_id"), F.col(name_col).alias("_name"))
     listed = (
@@ -512,9 +523,10 @@ def neighbour_sentence(neighbours: DataFrame, names: DataFrame, id_col: str, nam
             F.array_join(F.slice(others, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(others, -1)
         ),
     ).otherwise(F.array_join(others, ", "))
+    end = F.lit(". But we are fitting on noise!" if on_noise else ".")
     return listed.select(
         "query_id",
         F.concat(
-            F.lit("The "), n.cast("string"), F.lit(" neighbours for "), all_names[0], F.lit(" are: "), text, F.lit(".")
+            F.lit("The "), n.cast("string"), F.lit(" neighbours for "), all_names[0], F.lit(" are: "), text, end
         ).alias("sentence"),
     )

@@ -8,8 +8,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealens.functions import round_even
-
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation of each column, from one aggregate.
@@ -78,7 +76,3 @@ def resolve_features(
 def percent_explained(explained: Sequence[float], k: int) -> float:
     """Percent of the variance kept by the first ``k`` components."""
     return round(100 * float(sum(explained[:k])), 1)
-
-
-def round_columns(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
-    return df.withColumns({c: round_even(c, digits) for c in columns})

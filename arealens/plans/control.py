@@ -45,6 +45,15 @@ def district_rates(cases: DataFrame, population: DataFrame, start: str = fixed.C
     )
 
 
+def donor_places(
+    places: DataFrame, unit: str = "unit", prefix: str | None = "E", leave_out: Sequence[str] = fixed.TINY_DISTRICTS
+) -> DataFrame:
+    """The units a control may be built from: one country by code prefix, without the listed ones."""
+    known = places.filter(F.col(unit).isNotNull())
+    kept = known if prefix is None else known.filter(F.col(unit).startswith(prefix))
+    return kept.filter(~F.col(unit).isin(list(leave_out)))
+
+
 def pre_period_features(
     rates: DataFrame,
     value: str = "rolling_rate",

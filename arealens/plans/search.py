@@ -77,7 +77,7 @@ def find_neighbours(
     return Neighbours(
         table=table,
         report=neighbour_report(table, profile, scaled, id_col, features),
-        sentences=neighbour_sentence(table, profile, id_col, name_col),
+        sentences=neighbour_sentence(table, profile, id_col, name_col, features == ["noise"]),
         centres=neighbourhood_centres(table, profile, id_col, place) if place else None,
         features=features,
         variance_kept=kept,

@@ -79,3 +79,22 @@ def test_no_broadcast_hints_in_the_library():
         text = path.read_text()
         assert "F.broadcast(" not in text and "crossJoin" not in text and "localCheckpoint" not in text, path
     assert F is not None
+
+
+def test_donor_places_are_one_country_without_the_tiny_districts(spark):
+    from arealens.plans.control import donor_places
+
+    codes = ["E06000053", "E06000001", "W06000001", "E09000001", None, "E09000002"]
+    places = spark.createDataFrame([(c, 1.0) for c in codes], "unit string, lat double")
+    assert sorted(r.unit for r in donor_places(places).collect()) == ["E06000001", "E09000002"]
+    assert donor_places(places, prefix=None, leave_out=[]).count() == 5
+
+
+def test_a_match_on_noise_says_so(spark):
+    from arealens.operators.neighbours import neighbour_sentence
+
+    near = spark.createDataFrame([(1, i, i) for i in (1, 2, 3, 4)], "query_id long, neighbour_id long, rank int")
+    names = spark.createDataFrame([(i, f"u{i}") for i in (1, 2, 3, 4)], "id long, name string")
+    plain = neighbour_sentence(near, names, "id", "name").first().sentence
+    assert plain == "The 3 neighbours for u1 are: u2, u3 and u4."
+    assert neighbour_sentence(near, names, "id", "name", True).first().sentence == plain + " But we are fitting on noise!"

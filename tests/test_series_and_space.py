@@ -114,3 +114,11 @@ def test_density_matches_direct_sum_and_integrates_to_one(spark):
 def test_density_of_a_constant_is_empty(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert kde(df, "v").count() == 0
+
+
+def test_complete_days_fill_every_unit_over_the_whole_span(spark):
+    from arealens.operators.series import complete_days
+
+    daily = spark.sql("select * from values ('a', date'2020-01-01', 3L), ('a', date'2020-01-03', 1L), ('b', date'2020-01-04', 2L) as t(u, date, n)")
+    got = sorted((r.u, r.date.day, r.n) for r in complete_days(daily, "u", "n").collect())
+    assert got == [("a", 1, 3), ("a", 2, 0), ("a", 3, 1), ("a", 4, 0), ("b", 1, 0), ("b", 2, 0), ("b", 3, 0), ("b", 4, 2)]

@@ -223,3 +223,21 @@ def test_what_if_end_to_end(spark):
     assert result.effects.agg(F.avg("effect")).first()[0] > 0.1
     assert result.metrics.first()["rmse"] < 0.2
     assert result.effect_density("2021-11-01", ["Bolton", "Derby", "Watford"]).count() == 200
+
+
+def test_vectors_hold_the_same_features_in_the_same_places(spark):
+    rows = [("a", "f", 1, 1.0), ("a", "f", 2, 2.0), ("b", "f", 2, 3.0), ("b", "f", 3, 4.0), ("c", "f", 1, 5.0), ("c", "f", 2, 6.0), ("c", "f", 3, 7.0)]
+    df = spark.createDataFrame(rows, "u string, f string, m int, v double")
+    vectors = S.unit_vectors(df, "u", ["f", "m"], "v")
+    assert [tuple(r) for r in vectors.collect()] == [("c", [5.0, 6.0, 7.0])]
+    weights = spark.createDataFrame([], S.WEIGHT_SCHEMA.format(id="string"))
+    targets = spark.createDataFrame([("a",), ("c",)], "unit string")
+    status = {r.target: r.status for r in S.target_status(targets, vectors, weights).collect()}
+    assert status == {"a": "features missing", "c": "no weight"}
+
+
+def test_exclusions_of_listed_targets_equal_those_of_all(spark):
+    places = spark.range(60).selectExpr("id as unit", "cast(id % 7 as double) as lat", "cast(id % 11 as double) as long")
+    wanted = {(r.target, r.excluded) for r in S.exclusions(places, "unit", "lat", "long", 4).collect() if r.target in (3, 8)}
+    targets = spark.createDataFrame([(3,), (8,)], "unit long")
+    assert {(r.target, r.excluded) for r in S.exclusions(places, "unit", "lat", "long", 4, targets).collect()} == wanted
