@@ -22,14 +22,11 @@ from pyspark.sql import functions as F
 from . import arrays
 from .common import stored
 
-#: Different segments under one name that are compared in one task; names with more are
-#: compared window by window through grouping instead.
-CROWD = 256
 #: Bytes of segments compared at once.
 BLOCK_BYTES = 1 << 20
 
-#: (segments, order of their documents, start in the document) -> for each segment the
-#: windows (from, to) that also occur earlier.
+#: (segments, [rank of id, rank of document, number of name] of each, start in the document) ->
+#: for each segment the windows (from, to) that also occur earlier.
 Compare = Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tuple[int, int]]]]
 
 
@@ -149,11 +146,12 @@ def _compared(compare: Compare):
     """Tasks: (key, from, to) of the windows of every segment that occur earlier; rows come sorted by name."""
 
     def flags(held: list[tuple]) -> pa.RecordBatch:
-        keys, contents, ids, whos, ats = map(list, zip(*held))
+        names, keys, contents, ids, whos, ats = map(list, zip(*held))
         order = {d: i for i, d in enumerate(sorted(set(zip(ids, whos))))}
         place = np.array([order[d] for d in zip(ids, whos)])
         by_id = {x: i for i, x in enumerate(sorted(set(ids)))}
-        found = compare(contents, np.stack([np.array([by_id[x] for x in ids]), place]), np.array(ats))
+        _, group = np.unique(np.array(names), return_inverse=True)
+        found = compare(contents, np.stack([np.array([by_id[x] for x in ids]), place, group]), np.array(ats))
         flat = [(k, a, b) for k, ranges in zip(keys, found) for a, b in ranges]
         return pa.RecordBatch.from_arrays(
             [pa.array([f[0] for f in flat], pa.binary()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.int64())],
@@ -163,13 +161,13 @@ def _compared(compare: Compare):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("name", "key", "content", "id", "who", "at"))):
-                if name != last and size >= BLOCK_BYTES:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "key", "content", "id", "who", "at"))):
+                if row[0] != last and size >= BLOCK_BYTES:
                     yield flags(held)
                     held, size = [], 0
-                last = name
-                held.append(tuple(row))
-                size += len(row[1])
+                last = row[0]
+                held.append(row)
+                size += len(row[2])
         if held:
             yield flags(held)
 
@@ -193,9 +191,12 @@ def _windows(units: Units):
     return run
 
 
-def repeated_windows(texts: DataFrame, units: Units, compare: Compare, inside: bool, crowd: int = CROWD) -> DataFrame:
+def repeated_windows(texts: DataFrame, units: Units, compare: Compare, inside: bool, crowd: int) -> DataFrame:
     """(who, ranges): per document the windows (low, high) that also start earlier.
 
+    Up to ``crowd`` different segments of one name are compared in one task; names with more are
+    compared window by window through grouping instead.
+
     ``texts`` has id, who (a hash of id and text) and text. Earlier is a smaller id; with
     ``inside`` also the same document further left.
     """
@@ -210,12 +211,15 @@ def repeated_windows(texts: DataFrame, units: Units, compare: Compare, inside: b
 
     first = F.min(F.struct("id", "who", "at"))
     distinct = found.groupBy("name", "key").agg(
-        first.alias("first"), F.max("content").alias("content"), F.max("n").alias("n"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("times")
+        first.alias("first"), F.max("n").alias("n"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("times")
     )
-    distinct = stored(distinct.select("name", "key", "content", "n", "twice", "times", "first.id", "first.who", "first.at"), "repeat-distinct")
+    distinct = stored(distinct.select("name", "key", "n", "twice", "times", "first.id", "first.who", "first.at"), "repeat-distinct")
     crowds = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("v"), F.max("twice").alias("again"))
     crowds = crowds.where((F.col("v") > 1) | F.col("again")).select("name", "v") if inside else crowds.where("v > 1").select("name", "v")
-    differing = distinct.join(crowds, "name")
+    contents = found.where(F.col("content").isNotNull()).select("name", "key", "content").join(crowds, "name")
+    contents = contents.groupBy("key").agg(F.first("content").alias("content"), F.max("v").alias("v"))
+    differing = distinct.drop("twice", "times").join(contents, "key")
+    differing = stored(differing, "repeat-differing")
     bounded = differing.where(F.col("v") <= crowd).select("name", "key", "content", "id", "who", "at")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     bounded = bounded.repartition(parts, "name").sortWithinPartitions("name")
@@ -280,7 +284,7 @@ def _cut(units: Units, texts_out: bool):
 
 
 def without_repeats(
-    docs: DataFrame, units: Units, compare: Compare, inside: bool, id_col: str, text_col: str, texts_out: bool, crowd: int = CROWD
+    docs: DataFrame, units: Units, compare: Compare, inside: bool, id_col: str, text_col: str, texts_out: bool, crowd: int
 ) -> DataFrame:
     """Per row of ``docs``: id, n, n_removed, spans (units removed), kept_sha256, kept (bytes, if asked for)."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -12,16 +12,20 @@ WINDOW = 50
 ANCHOR = WINDOW // 2
 #: Diagonals extended at once.
 DIAGONALS = 20_000
+#: Hits gathered at once.
+HITS = 500_000
+#: Different segments under one name that meet in one task, pair by pair.
+CROWD = 512
 
 
 def anchored_repeats(segments: list[bytes], order: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """For each segment the windows that a segment of a document with a smaller id holds too.
 
-    Non-overlapping blocks of every segment are indexed by hash; every rolling run of as many
-    words probes them. A hit fixes a diagonal between two segments, along which words are
+    Non-overlapping blocks of every segment are indexed by name and hash; every rolling run of as
+    many words probes those of its own name. A hit fixes a diagonal between two segments, along which words are
     compared both ways to the ends: runs of equal words as long as a window are repeats.
     """
-    anchor, rank = window // 2, order[0]
+    anchor, rank, group = window // 2, order[0], order[2]
     raw = b"\n".join(segments)
     sizes = np.array([len(s) for s in segments])
     offsets = np.append(np.cumsum(sizes + 1) - (sizes + 1), len(raw))
@@ -31,18 +35,26 @@ def anchored_repeats(segments: list[bytes], order: np.ndarray, at: np.ndarray, w
     grams = arrays.rolling(words, anchor)
     probes = np.flatnonzero(owner[: len(grams)] == owner[anchor - 1 :])
     blocks = probes[(probes - first[owner[probes]]) % anchor == 0]
-    blocks = blocks[np.argsort(grams[blocks], kind="stable")]
-    low = np.searchsorted(grams[blocks], grams[probes], "left")
-    hits = np.searchsorted(grams[blocks], grams[probes], "right") - low
-    probe = np.repeat(probes, hits)
-    block = blocks[np.repeat(low, hits) + np.arange(len(probe)) - np.repeat(np.cumsum(hits) - hits, hits)]
-    earlier = rank[owner[block]] < rank[owner[probe]]
-    probe, block = probe[earlier], block[earlier]
-    diagonals = np.unique(np.stack([owner[probe], owner[block], probe - block], axis=1), axis=0) if len(probe) else np.zeros((0, 3), np.int64)
+    keys = arrays.mix(grams + group[owner[: len(grams)]].astype(np.uint64) * arrays.FACTOR)
+    blocks = blocks[np.argsort(keys[blocks], kind="stable")]
+    low = np.searchsorted(keys[blocks], keys[probes], "left")
+    hits = np.searchsorted(keys[blocks], keys[probes], "right") - low
+    n, found, ends = len(words), [np.zeros(0, np.int64)], np.cumsum(hits)
+    cuts = np.searchsorted(ends, np.arange(HITS, (ends[-1] if len(ends) else 0) + HITS, HITS), "right")
+    for part in np.split(np.arange(len(probes)), np.unique(cuts)):
+        some = hits[part]
+        probe = np.repeat(probes[part], some)
+        block = blocks[np.repeat(low[part], some) + np.arange(len(probe)) - np.repeat(np.cumsum(some) - some, some)]
+        earlier = rank[owner[block]] < rank[owner[probe]]
+        probe, block = probe[earlier], block[earlier]
+        found.append(np.unique((owner[probe] * len(segments) + owner[block]) * (2 * n + 1) + (probe - block + n)))
+    packed = np.unique(np.concatenate(found))
 
     hit = np.zeros(len(words) + 1, bool)
-    for i in range(0, len(diagonals), DIAGONALS):
-        mine, other, shift = diagonals[i : i + DIAGONALS].T
+    for i in range(0, len(packed), DIAGONALS):
+        pair, shift = np.divmod(packed[i : i + DIAGONALS], 2 * n + 1)
+        mine, other = np.divmod(pair, len(segments))
+        shift = shift - n
         start = np.maximum(first[mine], first[other] + shift)
         stop = np.minimum(first[mine + 1], first[other + 1] + shift)
         length = stop - start
@@ -65,7 +77,7 @@ def _ranges(at: np.ndarray) -> list[tuple[int, int]]:
 
 
 def drop_repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True, crowd: int = repeats.CROWD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True, crowd: int = CROWD
 ) -> DataFrame:
     """Per row: id, n (words), n_removed, spans (runs of removed words), kept_sha256, kept (UTF-8).
 

@@ -11,6 +11,8 @@ from .substrings import _ranges
 WINDOW = 100
 #: Bytes of the gram that names a window.
 GRAM = 32
+#: Different segments under one name that one task sorts.
+CROWD = 256
 
 
 def _words(text: np.ndarray, extra: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def suffix_repeats(segments: list[bytes], order: np.ndarray, at: np.ndarray, win
 
 
 def drop_repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True, crowd: int = repeats.CROWD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True, crowd: int = CROWD
 ) -> DataFrame:
     """Per row: id, n (bytes), n_removed, spans (runs of removed bytes), kept_sha256, kept.
 
