@@ -13,7 +13,7 @@ from . import arrays
 from .common import stored
 
 BINS = 1 << 16
-#: Rows the text model is fitted on: those with the smallest hashes of their ids.
+#: Rows the text model is fitted on, in expectation.
 SAMPLE = 8_000
 #: Most languages told apart: the most frequent declared ones in the sample.
 LANGUAGES = 32
@@ -59,14 +59,17 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Trigram model of at most LANGUAGES languages from at most ``sample`` labelled rows.
+    """Trigram model of at most LANGUAGES languages from about ``sample`` labelled rows.
 
-    The sample is whole rows: those with a label and the smallest hashes. What returns to the
-    driver is the model, BINS counts for each language.
+    The sample is whole rows: of the rows with a label, the share whose hashed ids lie lowest, so
+    that ``sample`` of them are expected. What returns to the driver is the model, BINS counts
+    for each language.
     """
     tag = declared_tag(F.lit(None).cast("string"), F.col(label_col))
-    rows = docs.select(F.col(text_col).alias("text"), tag.alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("h"))
-    rows = rows.where((F.col("lang") != "") & F.col("text").isNotNull()).orderBy("h", "text").limit(sample)
+    labelled = docs.select(F.col(text_col).alias("text"), tag.alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
+    labelled = labelled.where(F.col("lang") != "")
+    share = min(1.0, sample / max(1, labelled.count()))
+    rows = labelled.where(F.col("text").isNotNull() & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -95,7 +98,7 @@ def _log_likelihoods(model: np.ndarray):
         for rows, data, offsets in arrays.slices(batches):
             owner, bins, letters = _trigrams(data, offsets)
             n = len(offsets) - 1
-            sums = [np.bincount(owner, weights=model[bins, j], minlength=n) for j in range(model.shape[1])]
+            sums = [np.bincount(owner, weights=model[bins, j], minlength=n).astype(float) for j in range(model.shape[1])]
             values = pa.array(np.stack(sums, axis=1).ravel())
             lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * model.shape[1], model.shape[1], dtype=np.int32), values)
             kept = [rows.column(i) for i, name in enumerate(rows.schema.names) if name != "text"]
