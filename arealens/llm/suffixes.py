@@ -11,8 +11,8 @@ from .substrings import _ranges
 WINDOW = 100
 #: Bytes of the gram that names a window.
 GRAM = 32
-#: Different segments under one name that one task sorts.
-CROWD = 256
+#: Different segments under one name that one task sorts, about a megabyte.
+CROWD = 8192
 
 
 def _words(text: np.ndarray, extra: int) -> np.ndarray:
