@@ -14,14 +14,21 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A term: a run of at least four letters.
-TERM = r"(?<!\p{L})\p{L}{4,}+"
-#: Characters on each side of an entity that are its context.
-CONTEXT = 64
+#: Scripts that set no spaces between words (and Hangul, which attaches particles): their terms are pairs of characters.
+#: Thai and Lao, Myanmar, Hangul, Khmer, kana, Han; as ranges, since looking up scripts is slow.
+RANGES = (
+    r"฀-໿က-႟ᄀ-ᇿក-៿々-〇぀-ヿ㐀-䶿一-鿿"
+    r"가-힣豈-﫿ｦ-ﾟ\x{20000}-\x{323AF}"
+)
+JOINED = rf"[{RANGES}&&[\p{{L}}\p{{M}}]]"
+#: A term of other scripts: a run of letters and their marks.
+LETTER = rf"[\p{{L}}\p{{M}}&&[^{RANGES}]]"
+#: Where a term begins, with the term as group 1: such a run, two characters of a joined script, or a single one by itself.
+BEGINS = rf"(?=((?<!{LETTER}){LETTER}++|{JOINED}{{2}}|(?<!{JOINED}){JOINED}(?!{JOINED})))"
 #: Share of an entity's information a term must reveal to be generalised, and to be removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Documents a term must share with an entity before it counts as evidence.
-SUPPORT = 3
+#: Numbers that are added up by one fold.
+BLOCK = 256
 
 SPAN = "struct<start:int,end:int,found:string>"
 
@@ -94,29 +101,57 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Array of (entity, term, start, end) of the whole terms beside every span."""
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def beside(span: Column) -> Column:
-        low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        left = F.substr(text, low + 1, span["start"] - low)
-        right = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-        entity = _entity(span)
 
-        def terms(part: Column, shift: Column, whole) -> Column:
-            kept = F.filter(_found(part, TERM), whole)
-            return F.transform(
-                kept,
-                lambda t: F.struct(
-                    entity.alias("entity"), F.lower(t["found"]).alias("term"), (t["start"] + shift).alias("start"), (t["end"] + shift).alias("end")
-                ),
-            )
+def _running(sizes: Column) -> Column:
+    """Sums of the numbers up to and with each; folds are by block, so that long arrays cost linear time."""
 
-        before = terms(left, low, lambda t: (t["start"] > 0) | (low == 0))
-        after = terms(right, span["end"], lambda t: (t["end"] < CONTEXT))
-        return F.concat(before, after)
+    def fold(part: Column, before: Column) -> Column:
+        begin = F.struct(before.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
 
-    return F.flatten(F.transform(spans, beside))
+        def add(acc: Column, x: Column) -> Column:
+            at = acc["at"] + x
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(part, begin, add, lambda acc: acc["out"])
+
+    def by_block(whole: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(whole) / BLOCK) - 1, F.lit(0)).cast("int"))
+        blocks = F.transform(at, lambda b: F.slice(whole, b * BLOCK + 1, BLOCK))
+
+        def join(parts: Column) -> Column:
+            sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda x, y: x + y))
+            ends = fold(sums, F.lit(0))
+            return F.flatten(F.zip_with(parts, F.zip_with(ends, sums, lambda e, x: e - x), fold))
+
+        return _with(blocks, join)
+
+    return _with(sizes, by_block)
+
+
+def _term_set(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    plain = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]++"), F.lit(0))
+    mixed = F.regexp_extract_all(text, F.lit(BEGINS), F.lit(1))
+    found = F.when(text.rlike(f"[{RANGES}]"), mixed).otherwise(plain)
+    return F.array_distinct(F.transform(F.array_distinct(found), F.lower))
+
+
+def _terms(text: Column) -> Column:
+    """Array of (term, start, end, marked) of all terms; lower-case words of one or two letters are counted, not marked."""
+    led = F.concat(F.lit("\n"), text)  # a match at the very start would not split
+    hits = F.regexp_extract_all(led, F.lit(BEGINS), F.lit(1))
+    sizes = F.transform(F.split(led, BEGINS, -1), F.length)
+
+    def one(hit: Column, end: Column) -> Column:
+        start = end - 1
+        marked = (F.length(hit) > 2) | hit.rlike(r"[^\p{Ll}\p{M}]")
+        return F.struct(F.lower(hit).alias("term"), start.alias("start"), (start + F.length(hit)).alias("end"), marked.alias("marked"))
+
+    return _with(hits, lambda h: F.zip_with(h, F.slice(_running(sizes), 1, F.size(h)), one))
 
 
 def _overlaps(span: Column, others: Column) -> Column:
@@ -129,60 +164,65 @@ def find_private(
     text_col: str = "text",
     generalise: float = GENERALISE,
     remove: float = REMOVE,
-    support: int = SUPPORT,
 ) -> DataFrame:
     """One row per row of ``docs``: id, mark (hash of the text), spans.
 
     ``spans`` is an array of (start, kind, end, action), sorted, in code points; ``kind``
     indexes KINDS. Emails, IP addresses, card and phone numbers come from patterns and
-    checks. Terms come from the corpus: the information a term gives about an entity it stands
-    beside is their pointwise mutual information over documents, log2(N c(e,t) / c(e) c(t)),
-    and its disclosure is that over the entity's own information log2(N / c(e)). A term beside
-    an entity whose disclosure reaches ``generalise`` is generalised, from ``remove`` on
-    removed, if they share at least ``support`` documents; terms inside base spans stay with them.
-
-    Counts cover all documents, one per document. Terms are counted over the whole corpus in
-    grouped sums that are combined before they are shuffled; pairs are formed only inside a
-    context of bounded length, so they grow with the entities found and not with the square of
-    anything. Texts are never shuffled.
+    checks. Terms come from the corpus: the information a term gives about an entity is their
+    pointwise mutual information over documents, log2(N c(e,t) / c(e) (c(t) + 1)), and its
+    disclosure is that over the entity's own information log2(N / c(e)). The 1 stands for a
+    document not seen that holds the term without the entity: it keeps entities and terms of one
+    document from counting as certain, and in tables of few documents from counting at all.
+    A term whose disclosure about an entity reaches ``generalise`` is generalised, from ``remove``
+    on removed, wherever it stands in a document that holds the entity; terms that touch base
+    spans stay with them.
+
+    A term is a run of letters, or a pair of characters in scripts without spaces. Counts cover
+    all terms of all documents, whole texts and one per document, in grouped sums that are
+    combined before they are shuffled. Entities of the same documents have the same counts and are
+    counted once. Before pairs are formed, terms in more documents than any entity's disclosure
+    allows are left out; that loses none. Texts are never shuffled, terms only of documents that
+    hold an entity.
 
     A null text is empty. Rows that repeat an id and text count each as a document and get the
     same spans; null ids too. An empty table gives none. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    based = rows.withColumn("base", base_spans(F.col("text"))).select(
-        "id", "mark", "base", _contexts(F.col("text"), F.col("base")).alias("beside")
-    )
-    based = stored(based, "private-base")
-    entities = F.array_distinct(F.transform("base", _entity))
-    of_entity = based.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
-    together = F.array_distinct(F.transform("beside", lambda b: F.struct(b["entity"], b["term"])))
-    of_pair = based.select(F.explode(together).alias("p")).select("p.*").groupBy("entity", "term")
-    of_pair = of_pair.agg(F.count(F.lit(1)).alias("cet")).where(F.col("cet") >= support)
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    of_term = rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
-    n = based.count()
-    own = F.log2(F.lit(float(max(n, 1))) / F.col("ce"))
-    mutual = F.log2(F.col("cet") * F.lit(float(max(n, 1))) / (F.col("ce") * F.col("ct")))
-    telling = (
-        of_pair.join(of_entity, "entity").join(of_term, "term")
-        .withColumn("disclosure", F.when(own > 0, mutual / own))
-        .where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
-    )
-    mentions = based.where(F.size("beside") > 0).select("id", "mark", F.explode("beside").alias("b")).select("id", "mark", "b.*")
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("mark"))
+    based = rows.select("id", "mark", key.alias("key"), base_spans(F.col("text")).alias("base"), "text")
+    none = F.array().cast("array<struct<term:string,start:int,end:int,marked:boolean>>")
+    seen = F.when(F.size("base") > 0, _terms(F.col("text"))).otherwise(none)
+    based = stored(based.select("id", "mark", "key", "base", seen.alias("seen")), "private-base")
+    n = float(max(based.count(), 1))
+
+    holders = based.where(F.size("base") > 0)
+    held = holders.select("key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    hashes = [F.sum(F.xxhash64("key", F.lit(i)).cast("decimal(20,0)")).cast("string") for i in range(2)]
+    of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ce"), F.concat_ws(":", F.count(F.lit(1)), *hashes).alias("same"))
+    of_entity = stored(of_entity, "private-entities")
+    groups = stored(held.join(of_entity, "entity").select("key", "same", "ce").distinct(), "private-groups")
+
+    allowed = lambda ce: ce * F.pow(n / ce, F.lit(1.0 - generalise)) * (1 + 1e-9)
+    of_term = rows.select(F.explode(_term_set(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
+    most = of_entity.agg(F.max(allowed(F.col("ce")))).first()[0] or 0.0
+    words = holders.select("key", F.explode(F.array_distinct(F.transform("seen", lambda t: t["term"]))).alias("term"))
+    pairs = words.join(of_term.where(F.col("ct") <= most), "term").join(groups, "key").where(F.col("ct") <= allowed(F.col("ce")))
+    of_pair = pairs.groupBy("same", "ce", "term", "ct").agg(F.count(F.lit(1)).alias("cet"))
+    own = F.log2(F.lit(n) / F.col("ce"))
+    mutual = F.log2(F.col("cet") * F.lit(n) / (F.col("ce") * (F.col("ct") + 1)))
+    telling = of_pair.withColumn("disclosure", F.when(own > 0, mutual / own)).where(F.col("disclosure") >= generalise)
+    told = groups.select("key", "same").join(telling.select("same", "term", "disclosure"), "same")
     action = F.when(F.max("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    added = (
-        mentions.join(telling, ["entity", "term"])
-        .groupBy("id", "mark", "start", "end").agg(action.alias("action"))
-        .groupBy("id", "mark").agg(
-            F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "action")).alias("added")
-        )
-        .select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "added")
+    told = told.groupBy("key", "term").agg(action.alias("action"))
+    marked = holders.select("key", F.explode(F.filter("seen", lambda t: t["marked"])).alias("t")).select("key", "t.*")
+    added = marked.join(told, ["key", "term"]).groupBy(F.col("key").alias("_key")).agg(
+        F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "action")).alias("added")
     )
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit("generalise").alias("action")))
     extra = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")), lambda t: ~_overlaps(t, F.col("base")))
-    joined = based.join(added, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    joined = based.join(added, F.col("key") == F.col("_key"), "left")
     return joined.select(F.col("id").alias(id_col), "mark", F.array_sort(F.concat(base, extra)).alias("spans"))
 
 
