@@ -15,8 +15,10 @@ from .common import stored
 BINS = 1 << 16
 #: Rows the text model is fitted on, in expectation.
 SAMPLE = 8_000
-#: Most languages told apart: the most frequent declared ones in the sample.
-LANGUAGES = 32
+#: Rows of each label in the sample, in expectation; all where there are fewer.
+EACH = 200
+#: Most counts of (language, bin) that are sent to the driver and shipped; more stop the job, none are left out.
+CELLS = 1 << 23
 #: How many pseudo-documents a level of the host hierarchy lends to the one below it.
 LEND = 20.0
 #: Weight of one trigram's evidence: neighbouring trigrams overlap and are not independent.
@@ -58,18 +60,27 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner[:-2][use], bins[use], letters
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Trigram model of at most LANGUAGES languages from about ``sample`` labelled rows.
+#: Of one language: the log probability of a bin it has not, its bins, and their log probabilities.
+Model = list[tuple[float, np.ndarray, np.ndarray]]
 
-    The sample is whole rows: of the rows with a label, the share whose hashed ids lie lowest, so
-    that ``sample`` of them are expected. What returns to the driver is the model, BINS counts
-    for each language.
+
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], Model]:
+    """Trigram model of every labelled language from a bounded sample of labelled rows.
+
+    Labels are counted over all documents. The sample is whole rows: of each label the share whose
+    hashed ids lie lowest, so that ``sample`` rows are expected of all and EACH of any, or all it
+    has. A language is a label with a trigram in the sample. What returns to the driver is
+    the model, its bins with counts; more than CELLS of them are an error.
     """
     tag = declared_tag(F.lit(None).cast("string"), F.col(label_col))
     labelled = docs.select(F.col(text_col).alias("text"), tag.alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
-    labelled = labelled.where(F.col("lang") != "")
-    share = min(1.0, sample / max(1, labelled.count()))
-    rows = labelled.where(F.col("text").isNotNull() & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
+    labelled = labelled.where((F.col("lang") != "") & F.col("text").isNotNull())
+    by_label = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "language-labels")
+    total = by_label.agg(F.sum("rows")).first()[0] or 1
+    share = F.least(F.lit(1.0), F.greatest(F.lit(sample / total), EACH / F.col("rows")))
+    # tags have two or three letters, so that there are few of them whatever the labels are
+    shares = F.broadcast(by_label.select("lang", share.alias("share")))
+    rows = labelled.join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -84,23 +95,33 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bin", "n"])
 
     counts = stored(rows.select("text", "lang").mapInArrow(count, "lang string, bin int, n long"), "language-model")
-    by_size = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in by_size)
-    table = np.full((BINS, max(1, len(names))), 0.5)
-    if names:
-        wanted = counts.where(F.col("lang").isin(names)).groupBy("bin").pivot("lang", names).agg(F.sum("n")).toPandas()
-        table[wanted["bin"].to_numpy()] += wanted[names].fillna(0).to_numpy(float)
-    return names, np.log(table / table.sum(axis=0))
-
+    counts = stored(counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-counts")
+    cells = counts.count()
+    if cells > CELLS:
+        raise ValueError(f"the language model has {cells} counts, more than {CELLS}: lower sample, or clean the labels")
+    found = counts.toPandas()
+    names, model = [], []
+    for name, own in found.groupby("lang", sort=True):
+        n = own["n"].to_numpy(float)
+        whole = np.log(n.sum() + 0.5 * BINS)
+        names.append(name)
+        model.append((float(np.log(0.5) - whole), own["bin"].to_numpy(), np.log(n + 0.5) - whole))
+    return names, model
+
+
+def _log_likelihoods(model: Model):
+    m = len(model)
 
-def _log_likelihoods(model: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in arrays.slices(batches):
             owner, bins, letters = _trigrams(data, offsets)
             n = len(offsets) - 1
-            sums = [np.bincount(owner, weights=model[bins, j], minlength=n).astype(float) for j in range(model.shape[1])]
-            values = pa.array(np.stack(sums, axis=1).ravel())
-            lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * model.shape[1], model.shape[1], dtype=np.int32), values)
+            sums, column = np.zeros((n, m)), np.empty(BINS)
+            for j, (least, own, values) in enumerate(model):
+                column.fill(least)
+                column[own] = values
+                sums[:, j] = np.bincount(owner, weights=column[bins], minlength=n)
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * m, pa.array(sums.ravel()))
             kept = [rows.column(i) for i, name in enumerate(rows.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(letters.astype(np.int64))], names=["id", "declared", "host", "parent", "suffix", "ll", "letters"])
 

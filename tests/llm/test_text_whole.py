@@ -8,7 +8,7 @@ from collections import Counter
 
 from brute import private
 
-from arealens.llm import pii
+from arealens.llm import language, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -65,3 +65,13 @@ def test_telling_terms_against_brute_force(spark):
     cut = {i: {texts[i][a:b] for a, b, _ in spans} for i, spans in got.items()}
     assert {"Ann", "Bo"} <= cut[1] and {"Zebulon", "ZEBULON"} <= cut[2] and {"王小", "小明", "王明"} <= cut[20] and "Omar" in cut[22]
     assert all((a, b, "remove") in got[5] for a, b in ((m.start(), m.end()) for m in re.finditer("Quill", texts[5])))
+
+
+def test_every_labelled_language_is_told(spark):
+    draw = random.Random(8)
+    tags = [f"{a}{b}" for a in "abcdefg" for b in "uvwxyz"][:40]
+    syllables = {t: ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for t in tags}
+    say = lambda t, n: " ".join("".join(draw.choices(syllables[t], k=2)) for _ in range(n))
+    rows = [(i * 40 + j, say(t, 30), t, None) for j, t in enumerate(tags) for i in range(60 if j == 0 else 3)]
+    found = by_id(language.identify(spark.createDataFrame(rows, SCHEMA), sample=40))
+    assert all(found[i].language == t and found[i].accepted for i, _, t, _ in rows)
