@@ -30,8 +30,12 @@ LETTERS = 1
 
 
 def declared_tag(text: Column, label: Column | None = None) -> Column:
-    """Primary language tag: of the page's own html element, else of the given label; '' for none."""
-    markup = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)<html[^>]{0,400}?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    """Primary language tag: of the page's own html element, else of the given label; '' for none.
+
+    The element's whole tag is read, whatever its length.
+    """
+    tags = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)<html[\s/][^>]*+"), F.lit(0)), "\n")
+    markup = F.regexp_extract(tags, r"(?i)(?<![\w-])lang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
     given = F.regexp_extract(F.coalesce(label, F.lit("")), r"(?i)^\s*([a-z]{2,3})(?:[-_].*)?$", 1) if label is not None else F.lit("")
     return F.lower(F.when(markup != "", markup).otherwise(given))
 

@@ -75,3 +75,16 @@ def test_every_labelled_language_is_told(spark):
     rows = [(i * 40 + j, say(t, 30), t, None) for j, t in enumerate(tags) for i in range(60 if j == 0 else 3)]
     found = by_id(language.identify(spark.createDataFrame(rows, SCHEMA), sample=40))
     assert all(found[i].language == t and found[i].accepted for i, _, t, _ in rows)
+
+
+def test_declared_language_of_long_tags(spark):
+    texts = {
+        1: f"<html class='{'wide ' * 300}' lang=\"fr-CA\"><p lang='de'>",
+        2: f"<!doctype html><HTML data-lang='de' {'x ' * 500} xml:lang=it>",
+        3: "<html class='a'><p lang='de'>",
+        4: "<html><html prefix='og: x'\n lang = 'sv'>",
+        5: "<html " * 20_000,
+    }
+    text = language.F.col("text")
+    got = frame(spark, texts).select("doc_id", language.declared_tag(text, language.F.lit("en")).alias("tag"))
+    assert {r.doc_id: r.tag for r in got.collect()} == {1: "fr", 2: "it", 3: "en", 4: "sv", 5: "en"}
