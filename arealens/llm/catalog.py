@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from arealens.session import scratch_path
 
-from . import decontaminate, exact, jaccard, language, mixing, pii, substrings, suffixes, tokens, warc
+from . import decontaminate, exact, jaccard, language, mixing, negatives, pieces, pii, spelling, substrings, suffixes, tokens, warc
 
 #: Target weights of the sources; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0}
 MIX_SEED = 7
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +92,30 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, folder, "documents"), str(path), TOKEN_LIMIT)
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = str(public_tokenizers.path(PIECE_MODEL))
+    found = pieces.decode_ids(pieces.encode_texts(_table(spark, folder, "documents"), path), path)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    counts = spelling.word_counts(_table(spark, folder, "documents"))
+    return spelling.spelling_groups(counts).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, folder, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS2 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontaminate.WORD}')"
 
@@ -155,7 +180,7 @@ ORACLES: dict[str, str] = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pii, op2_decontamination, op3_warc, op4_substring_dedup, op5_language, op6_suffix_array, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts)
+    f.__name__: f for f in (op1_pii, op2_decontamination, op3_warc, op4_substring_dedup, op5_language, op6_suffix_array, op7_exact_dedup, op8_mixing, op9_ngram_jaccard, op10_token_counts, op11_sentencepiece, op12_spelling, op13_hard_negatives)
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -100,3 +101,56 @@ def near_groups(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def slipped_words(texts: dict[int, str | None], slip: int = 31) -> Counter:
+    """Occurrences of all runs of letters, with the contract's typing errors."""
+    out: Counter = Counter()
+    for i, text in texts.items():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{i}:{run}".encode())
+            out[run[: h % len(run)] + run[h % len(run) + 1 :] if h % slip == 0 else run] += 1
+    return out
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) - len(a) == 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def spellings(counts: dict[str, int], length: int = 7, least: int = 2, factor: int = 10) -> dict[str, tuple]:
+    """word -> (n, n_near, form, form_n, root)."""
+    words = {w: n for w, n in counts.items() if len(w) >= length and n >= least}
+    holders: dict[str, set[str]] = {}
+    for w in words:  # words one edit apart share a word with one letter gone, or are one
+        for part in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            holders.setdefault(part, set()).add(w)
+    near = {w: {v for part in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for v in holders[part] if one_edit(w, v)} for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= factor * words[w] else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (n, len(near[w]), form[w], words.get(form[w]), root)
+    return out
+
+
+def hard(rows: list[tuple], is_anchor, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> list[tuple]:
+    """(anchor, positive, rank, negative, positive score, negative score) of (id, label, whole vector) rows."""
+    out = []
+    for a, label, x in rows:
+        if not is_anchor(a):
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), i, other == label) for i, other, y in rows if i != a)
+        for s, p, _ in [r for r in scored if r[2]][:positives]:
+            mined = [r for r in scored if not r[2] and low * -s <= 100 * -r[0] <= high * -s][:negatives]
+            out += [(a, p, k, i, -s, -t) for k, (t, i, _) in enumerate(mined, 1)]
+    return sorted(out)
