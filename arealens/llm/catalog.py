@@ -106,7 +106,7 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
-    counts = spelling.word_counts(_table(spark, folder, "documents"))
+    counts = spelling.word_counts(_table(spark, folder, "documents"), least_length=spelling.LEAST_LENGTH)  # none grows longer
     return spelling.spelling_groups(counts).select("word", "n", "n_near", "form", "form_n", "root")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
 LEAST_LENGTH, LEAST_COUNT = 7, 2
 #: A form has at least this many times the occurrences of the word it corrects.
 FACTOR = 10
@@ -31,13 +31,13 @@ GROUP = ["m", "a", "b", "bar", "stem"]
 NO_BAR = 1 << 30
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slip: int | None = 31) -> DataFrame:
-    """(word, n) of all runs of letters in whole texts, lower-cased (A-Z only).
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slip: int | None = 31, least_length: int = 1) -> DataFrame:
+    """(word, n) of all runs of at least ``least_length`` letters in whole texts, lower-cased (A-Z only).
 
     With ``slip`` every run whose crc32 of ``<id>:<run>`` it divides first loses the code point
     at that number modulo its length: typing errors of known origin. A null id counts as an empty string.
     """
-    runs = docs.select(F.col(id_col).cast("string").alias("id"), F.explode(F.regexp_extract_all(text_col, F.lit(RUN), F.lit(0))).alias("run"))
+    runs = docs.select(F.col(id_col).cast("string").alias("id"), F.explode(F.regexp_extract_all(text_col, F.lit(f"{LETTERS}{{{least_length},}}"), F.lit(0))).alias("run"))
     word = ascii_lower(F.col("run"))
     if slip is not None:
         runs = runs.select(word.alias("run"), F.crc32(F.concat(F.coalesce("id", F.lit("")), F.lit(":"), word)).alias("h"))
