@@ -19,6 +19,8 @@ from arealens.functions import (
 )
 from arealens.operators.allocation import allocate_to_children
 from arealens.operators.columns import columns_where, quoted, rename, sum_columns_where
+from arealens.operators.globe import nearest_on_globe
+from arealens.operators.intervals import label_by_interval
 from arealens.operators.relational import first_per_key, join_on, star_join
 from arealens.operators.rollup import pivot_unique
 from arealens.operators.spatial import nearest_facility, polygon_measures
@@ -53,10 +55,14 @@ def trust_locations(
     return located.select("areaCode", "areaName", "latitude", "longitude")
 
 
-def trust_map(locations: DataFrame, trusts: DataFrame, prefix: str = "E") -> DataFrame:
-    """(lsoa11cd, nhstrustcd, nhstrustnm): the trust nearest to each area."""
+def trust_map(locations: DataFrame, trusts: DataFrame, prefix: str = "E", great_circle: bool = False) -> DataFrame:
+    """(lsoa11cd, nhstrustcd, nhstrustnm): the trust nearest to each area.
+
+    Distances are planar between degrees, or those on the globe with ``great_circle``.
+    """
     areas = locations.filter(F.col("lsoa11cd").startswith(prefix))
-    nearest = nearest_facility(
+    search = nearest_on_globe if great_circle else nearest_facility
+    nearest = search(
         areas, "lsoa11cd", ["lati", "long"], trusts, "areaCode", ["latitude", "longitude"], carry=["areaName"]
     )
     return nearest.select("lsoa11cd", F.col("areaCode").alias("nhstrustcd"), F.col("areaName").alias("nhstrustnm"))
@@ -123,7 +129,7 @@ def seasonal_cases(
     bridge: DataFrame,
     grain: str = "season",
     prefix: str | None = "E",
-    seasons: Sequence[tuple[str, str, str]] = fixed.CASE_SEASONS,
+    seasons: Sequence[tuple[str, str, str]] | DataFrame = fixed.CASE_SEASONS,
     codes: Mapping[str, str] = fixed.DISTRICT_RECODES,
     other: str = "other_season",
 ) -> DataFrame:
@@ -131,14 +137,20 @@ def seasonal_cases(
 
     ``cases`` is (areaCode, date, newCasesBySpecimenDate); ``bridge`` has one row per small
     area, (LSOA Code, LAD21CD, pop_all_ages). The parent population is that of the bridge.
+    ``seasons`` are (name, from, to) in a list, or a table (name, start, end) of any length, whose
+    seasons must not overlap.
     """
     if grain not in ("season", "date"):
         raise ValueError("grain must be season or date")
     rows = cases if prefix is None else cases.filter(F.col("areaCode").startswith(prefix))
     day = F.col("date").cast("date")
-    # the span of all seasons is a plain range, which the scan can use to skip data
-    span = in_period(day, min(s for _, s, _ in seasons), max(e for _, _, e in seasons))
-    kept = rows.filter(span).withColumn("season", season_of(day, seasons, other)).filter(F.col("season") != other)
+    if isinstance(seasons, DataFrame):
+        named = label_by_interval(rows.withColumn("_day", day), "_day", seasons, "name", "season", other=other)
+    else:
+        # the span of all seasons is a plain range, which the scan can use to skip data
+        span = in_period(day, min(s for _, s, _ in seasons), max(e for _, _, e in seasons))
+        named = rows.filter(span).withColumn("season", season_of(day, seasons, other))
+    kept = named.filter(F.col("season") != other)
     totals = (
         kept.withColumn("LAD21CD", recode("areaCode", codes))
         .dropna(subset=["LAD21CD"])

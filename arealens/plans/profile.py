@@ -12,7 +12,6 @@ from arealens.functions import density, proportion, rate_per, spread
 from arealens.operators.quantiles import HEAVY_ROWS, quantile_specs
 from arealens.operators.rollup import rollup_units
 from arealens.operators.scaling import gaussian
-from arealens.session import cut
 from arealens.sources import fixed
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -51,22 +50,59 @@ def unit_profile(
     """Sums, means, medians, case quartiles, rates, spreads, density and proportions.
 
     One shuffle of the small-area table; everything derived is added to the few rows that
-    remain. Under "auto" the table is read twice, to size the units and to roll them up, so
-    the joins behind it are materialised first.
+    remain. Under "auto" the units are sized first, from their keys alone.
     """
-    keys = level_columns(level, spec.levels)
+    return _profile(areas, level_columns(level, spec.levels), spec, noise_seed, strategy, heavy_rows)
+
+
+def level_profiles(
+    areas: DataFrame,
+    levels: Sequence[str] | None = None,
+    spec: ProfileSpec = ProfileSpec(),
+    noise_seed: int | None = 420,
+    strategy: str = "auto",
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """(level, code, name, ...): the profiles of several levels of the hierarchy from one pass.
+
+    Every area counts towards one unit of each level, so its row is handed to all of them where it is
+    read, and one aggregation serves all: the sums combine map-side, and medians and quartiles
+    are as exact as those of a single level. Codes and names are strings here, as levels may differ
+    in type. Areas without a code at a level take no part in that level.
+    """
+    levels = list(spec.levels if levels is None else levels)
+    units = [
+        F.struct(F.lit(level).alias("level"), *[F.col(c).cast("string").alias(n) for c, n in zip(level_columns(level, spec.levels), ("code", "name"))])
+        for level in levels
+    ]
+    placed = areas.withColumn("_unit", F.explode(F.array(*units)))
+    held = [*_aggregates(spec), *spec.cases]
+    placed = placed.select("_unit.*", *dict.fromkeys(held))
+    return _profile(placed, ["level", "code", "name"], spec, noise_seed, strategy, heavy_rows, ["level", "code"])
+
+
+def _aggregates(spec: ProfileSpec) -> dict[str, str]:
     sums = [spec.area, spec.population, *spec.population_parts, *spec.groups]
     sums += [spec.group_total] if spec.group_total else []
-    aggregates = (
+    return (
         {spec.area: "sum"}
         | {c: "median" for c in spec.place}
         | {c: "sum" for c in sums}
         | {c: "mean" for c in spec.means}
     )
-    if strategy == "auto":
-        areas = cut(areas.select(*keys, *dict.fromkeys([*aggregates, *spec.cases])))
+
+
+def _profile(
+    areas: DataFrame,
+    keys: Sequence[str],
+    spec: ProfileSpec,
+    noise_seed: int | None,
+    strategy: str,
+    heavy_rows: int,
+    noise_key: Sequence[str] = (),
+) -> DataFrame:
     profile = rollup_units(
-        areas, keys, aggregates, quantile_specs(spec.cases, QUARTILES), strategy, heavy_rows
+        areas, keys, _aggregates(spec), quantile_specs(spec.cases, QUARTILES), strategy, heavy_rows
     )
     rates = {
         f"{c}_{q}_rate": rate_per(f"{c}_{q}", spec.population) for c in spec.cases for q in QUARTILES
@@ -80,5 +116,5 @@ def unit_profile(
         derived[f"pop_{group}_prop"] = proportion(group, spec.group_total, 3)
     profile = profile.withColumns(derived)
     if noise_seed is not None:
-        profile = profile.withColumn("noise", gaussian(F.col(keys[0]), noise_seed))
+        profile = profile.withColumn("noise", gaussian(F.concat_ws(":", *(noise_key or keys[:1])), noise_seed))
     return profile

@@ -11,10 +11,13 @@ from arealens.operators.scenario import (
     daily_panel,
     feature_importances,
     fit_forest,
+    forest_leaves,
     mean_effect,
     predict,
+    predict_by_leaves,
     regression_metrics,
     scenario_effect,
+    scenario_table_effects,
 )
 from arealens.operators.density import kde
 from arealens.operators.synthetic import (
@@ -231,3 +234,55 @@ def scenario_effect_density(t: Tables) -> DataFrame:
     panel, model = _fitted(t)
     effects = scenario_effect(model, panel, FEATURES, "response", {"quantity": -5, "price": -10_000}, ["date", "area"])
     return kde(mean_effect(effects, "area"), "effect")
+
+
+PANEL_KEYS_SQL = """(select l_shipdate::date as date, s_nationkey as area from lineitem join supplier on s_suppkey = l_suppkey group by all)
+    join (select o_orderdate::date as date, c_nationkey as area from orders join customer on c_custkey = o_custkey group by all) using (date, area)"""
+
+
+def regional_scenarios(t: Tables) -> DataFrame:
+    """One scenario per region: less shipped, at lower prices, the further down the list."""
+    shifts = {"quantity": -2.0 * F.col("r_regionkey"), "price": -1500.0 * F.col("r_regionkey")}
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), s.alias("shift")) for c, s in shifts.items()])
+    return t.region.select(F.col("r_name").alias("scenario"), F.explode(entries).alias("e")).select("scenario", "e.*")
+
+
+@query()
+def effects_of_every_scenario(t: Tables) -> DataFrame:
+    """Effects of a table of scenarios by day and nation, from one pass over the panel."""
+    panel, model = _fitted(t)
+    return scenario_table_effects(model, panel, FEATURES, "response", regional_scenarios(t), ["date", "area"])
+
+
+@query(f"select r_name as scenario, date, area, true as same from region, {PANEL_KEYS_SQL}")
+def scenario_table_equals_single_scenarios(t: Tables) -> DataFrame:
+    """The effects of the table's scenarios beside those of each one scored by itself."""
+    panel, model = _fitted(t)
+    keys = ["date", "area"]
+    together = scenario_table_effects(model, panel, FEATURES, "response", regional_scenarios(t), keys)
+    alone = None
+    for r in t.region.select("r_name", "r_regionkey").orderBy("r_regionkey").limit(5).collect():  # as many as there are regions
+        shifts = {"quantity": -2.0 * r["r_regionkey"], "price": -1500.0 * r["r_regionkey"]}
+        one = scenario_effect(model, panel, FEATURES, "response", shifts, keys).withColumn("scenario", F.lit(r["r_name"]))
+        alone = one if alone is None else alone.unionByName(one)
+    alone = alone.select("scenario", *keys, F.col("effect").alias("wanted"), F.col("expected").alias("wanted_expected"))
+    same = (F.abs(F.col("effect") - F.col("wanted")) < 1e-6) & (F.abs(F.col("expected") - F.col("wanted_expected")) < 1e-6)
+    return together.join(alone, ["scenario", *keys], "full").select("scenario", *keys, F.coalesce(same, F.lit(False)).alias("same"))
+
+
+@query(f"select date, area, true as same from {PANEL_KEYS_SQL}")
+def forest_by_its_leaves(t: Tables) -> DataFrame:
+    """Predictions from the table of leaves beside the model's own, on every row."""
+    panel, model = _fitted(t)
+    both = predict_by_leaves(predict(model, panel, FEATURES, "wanted"), forest_leaves(model, panel), FEATURES, "found")
+    return both.select("date", "area", (F.abs(F.col("found") - F.col("wanted")) < 1e-6).alias("same"))
+
+
+@query("select true as sums_to_one, 6 as features, true as ranked")
+def importances_add_up(t: Tables) -> DataFrame:
+    panel, model = _fitted(t)
+    table = feature_importances(model, FEATURES, panel)
+    falls = F.forall(F.sequence(F.lit(1), F.size("v") - 1), lambda i: F.get("v", i - 1) >= F.get("v", i))
+    return table.agg(F.collect_list("importance").alias("v")).select(
+        (F.abs(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9).alias("sums_to_one"), F.size("v").alias("features"), falls.alias("ranked")
+    )

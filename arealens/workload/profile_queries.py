@@ -15,7 +15,7 @@ from arealens.operators.neighbours import (
 )
 from arealens.operators.rollup import rollup_units
 from arealens.operators.scaling import gaussian, percent_explained, resolve_features, zscore
-from arealens.plans.profile import unit_profile
+from arealens.plans.profile import level_profiles, unit_profile
 from arealens.plans.search import (
     city_neighbours,
     find_neighbours,
@@ -75,6 +75,21 @@ def region_profile(t: Tables) -> DataFrame:
     return _profile(t, "region")
 
 
+def _level_select(level: str) -> str:
+    cells = [f"{c}::bigint as {c}" for c in PROFILE_COUNTS]
+    cells += [f"round({c}, 4) as {c}" for c in PROFILE_MEASURES]
+    cells += [f"round({c}, 2) as {c}" for c in PROFILE_RATES]
+    code, name = SPEC.levels[level]
+    return f"""select * from (with {profile_sql(level)} select '{level}' as level, {code}::varchar as code, {name} as name, {', '.join(cells)} from profile)"""
+
+
+@query(f"with {SMALL_AREAS_SQL} {_level_select('nation')} union all {_level_select('region')}")
+def profile_of_all_levels(t: Tables) -> DataFrame:
+    """Nations and regions profiled in one pass over the areas."""
+    table = level_profiles(small_areas(t), spec=SPEC, noise_seed=None)
+    return rounded(rounded(table, PROFILE_MEASURES, 4), PROFILE_RATES, 2)
+
+
 @query(
     f"""with {SMALL_AREAS_SQL} select region_code, sum(pop_all)::bigint as pop_all, round(avg(balance), 6) as balance,
       round(quantile_cont(lati, 0.5), 4) as lati, round(quantile_cont(nc_y1, 0.9), 4) as nc_y1_q90

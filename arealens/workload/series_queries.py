@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from arealens.functions import recode
 from arealens.operators.allocation import allocate_to_children
 from arealens.operators.density import kde
+from arealens.operators.globe import nearest_on_globe
+from arealens.operators.intervals import interval_join, label_by_interval, overlapping
 from arealens.operators.relational import join_on, only_in, sample_units
 from arealens.operators.series import complete_days, daily_totals, features_long, monthly_features, rolling_mean, rolling_rate
 from arealens.operators.spatial import nearest_facility, polygon_measures
@@ -155,7 +157,82 @@ def daily_cases_per_area(t: Tables) -> DataFrame:
     return seasonal_cases(nation_cases(t), customer_bridge(t), "date", prefix="N", seasons=SEASONS, codes=CODES)
 
 
+# ---------------------------------------------------------------- intervals
+PROMOTIONS_SQL = """promotions as (select p_partkey as promotion, date '1992-01-01' + (3 * (p_partkey % 1500))::int as start,
+  date '1992-01-01' + (3 * (p_partkey % 1500) + 1 + p_partkey % 40)::int as "end" from part)"""
+
+
+def promotions(t: Tables) -> DataFrame:
+    """Every part on offer for some days: many intervals of several lengths, overlapping freely."""
+    first = (3 * (F.col("p_partkey") % 1500)).cast("int")
+    origin = F.lit("1992-01-01").cast("date")
+    return t.part.select(
+        F.col("p_partkey").alias("promotion"),
+        F.date_add(origin, first).alias("start"),
+        F.date_add(origin, (first + 1 + F.col("p_partkey") % 40).cast("int")).alias("end"),
+    )
+
+
+@query(
+    f"""with {PROMOTIONS_SQL} select promotion, count(*) as orders, round(sum(o_totalprice), 2) as total
+    from promotions join orders on o_orderdate::date >= start and o_orderdate::date < "end" group by 1"""
+)
+def orders_in_promotions(t: Tables) -> DataFrame:
+    """Orders placed while each part is on offer: an interval join of two tables of any size."""
+    orders = t.orders.select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    daily = orders.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
+    met = interval_join(daily, "day", promotions(t))
+    found = met.groupBy("promotion").agg(F.sum("n").alias("orders"), F.sum("price").cast("double").alias("total"))
+    return rounded(found, ["total"], 2)
+
+
+@query(
+    f"""select {season_sql('o_orderdate::date')} as season, o_orderpriority, count(*) as orders from orders group by all"""
+)
+def seasons_from_a_table(t: Tables) -> DataFrame:
+    """Seasons as rows of a table, checked for overlaps and looked up by a range join."""
+    seasons = t.spark.createDataFrame(SEASONS, "season string, start string, end string")
+    seasons = seasons.select(F.col("season").alias("name"), F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
+    orders = t.orders.select(F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority")
+    named = label_by_interval(orders, "day", seasons, "name", "season", other="other_season")
+    return named.groupBy("season", "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query(
+    f"""with {PROMOTIONS_SQL}, few as (select * from promotions where promotion % 40 < 3)
+    select distinct a.promotion as first, b.promotion as second from few a join few b
+      on a.promotion <> b.promotion and b.start >= a.start and b.start < a."end" """
+)
+def overlapping_promotions(t: Tables) -> DataFrame:
+    """Offers of up to three days, by the filter on length, that start while another runs."""
+    few = promotions(t).where(F.col("promotion") % 40 < 3)
+    return overlapping(few, "promotion")
+
+
 # ---------------------------------------------------------------- space
+GLOBE_SQL = """c as (select c_custkey, (c_acctbal + 1000) * 180 / 11000 - 90 as lat, ((c_custkey * 7919) % 36000) / 100.0::double - 180 as long from customer),
+  s as (select s_suppkey, s_name, (s_acctbal + 1000) * 180 / 11000 - 90 as lat, ((s_suppkey * 10007) % 36000) / 100.0::double - 180 as long from supplier),
+  d as (select c_custkey, s_suppkey, s_name, 2 * 6371.0088 * asin(sqrt(sin(radians(s.lat - c.lat) / 2) ^ 2
+    + cos(radians(c.lat)) * cos(radians(s.lat)) * sin(radians(s.long - c.long) / 2) ^ 2)) as km from c, s)"""
+
+
+@query(
+    f"""with {GLOBE_SQL} select c_custkey, s_suppkey, s_name, round(km, 6) as distance_km from
+      (select *, row_number() over (partition by c_custkey order by km, s_suppkey) as rn from d) where rn = 1"""
+)
+def nearest_supplier_on_the_globe(t: Tables) -> DataFrame:
+    """Closest supplier of every customer by great circle, poles and antimeridian included."""
+
+    def place(key: str, balance: str, step: int) -> list:
+        lat = (F.col(balance) + 1000) * 180 / 11000 - 90
+        return [lat.alias("lat"), (((F.col(key) * step) % 36000) / 100.0 - 180).alias("long")]
+
+    customers = t.customer.select("c_custkey", *place("c_custkey", "c_acctbal", 7919))
+    suppliers = t.supplier.select("s_suppkey", "s_name", *place("s_suppkey", "s_acctbal", 10007))
+    found = nearest_on_globe(customers, "c_custkey", ["lat", "long"], suppliers, "s_suppkey", ["lat", "long"], carry=["s_name"], most=8)
+    return rounded(found, ["distance_km"])
+
+
 @query(
     """select c_custkey, s_suppkey, s_name, round(distance, 6) as distance from (
       select c_custkey, s_suppkey, s_name, sqrt((c_acctbal - s_acctbal) ^ 2 + (c_nationkey - s_nationkey) ^ 2) as distance,
