@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,16 +72,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word's bytes."""
+    """A 64-bit hash of every word's bytes.
+
+    A sum over letters and places; words with more letters than there are places are hashed as a whole.
+    """
     if not len(starts):
         return np.zeros(0, U64)
+    long = np.flatnonzero(ends - starts > len(PLACES))
     sizes = ends - starts
+    if len(long):
+        digests = [hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest() for i in long.tolist()]
+        sizes = sizes.copy()
+        sizes[long] = 1  # their sums are not used
     owner = np.repeat(np.arange(len(starts)), sizes)
     before = np.cumsum(sizes) - sizes
     place = np.arange(len(owner)) - before[owner]
     values = LETTERS[data[starts[owner] + place]] * PLACES[place & (len(PLACES) - 1)]
     total = np.add.reduceat(values, before)
-    return mix(total + sizes.astype(U64))
+    hashes = mix(total + sizes.astype(U64))
+    if len(long):
+        hashes[long] = np.frombuffer(b"".join(digests), U64)
+    return hashes
 
 
 _powers: dict[str, np.ndarray] = {}
