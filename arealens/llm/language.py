@@ -82,8 +82,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
     by_label = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "language-labels")
     total = by_label.agg(F.sum("rows")).first()[0] or 1
     share = F.least(F.lit(1.0), F.greatest(F.lit(sample / total), EACH / F.col("rows")))
-    # tags have two or three letters, so that there are few of them whatever the labels are
-    shares = F.broadcast(by_label.select("lang", share.alias("share")))
+    shares = by_label.select("lang", share.alias("share"))
     rows = labelled.join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
