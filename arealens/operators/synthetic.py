@@ -8,23 +8,21 @@ over n feature rows, with (a, r) chosen by contiguous cross-validation (Zou and
 2005; Friedman, Hastie and Tibshirani 2010).
 
 A donor pool whose size was checked is shared with all tasks, and targets are fitted in
-parallel, one row each. A pool beyond that stays distributed: the fit then works on the
-dual of the problem, whose size is the number of feature rows, and each step sums small
-matrices over the donors.
+parallel, one row each. A pool beyond that stays distributed: targets are fitted in parallel on
+the donors a screening leaves, and every fit is checked against the whole pool until none is
+wanted that was left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealens.session import cut, scratch_path
+from arealens.session import cut
 from arealens.sources import fixed
 
 from .allocation import share_of_total
@@ -33,8 +31,9 @@ from .neighbours import knn, nearest_to
 MAX_DONOR_CELLS = 4_000_000  # donors x features a task may hold, 32 MB
 STEPS = 10_000  # active-set steps per fit
 TOLERANCE = 1e-9  # of the optimality conditions, relative to the largest |x'y|/n
-PASS_CELLS = 4_000_000  # numbers one pass over a distributed pool may sum, 32 MB
-ADDED_DONORS = 20  # donors one pass adds per problem to the working set of a pure l1 fit
+POOL_PIECE = 8192  # donors of a distributed pool in a task
+TARGETS_AT_ONCE, FIT_CELLS = 512, 8_000_000  # targets that meet them there; residuals of all their fits, 64 MB
+SURVIVORS, ADDED_DONORS = 256, 64  # donors a target starts with, and takes in per pass
 
 WEIGHT_SCHEMA = (
     "target {id}, donor {id}, weight double, alpha double, l1_ratio double, "
@@ -105,9 +104,8 @@ def fit_weights(
 
     ``targets`` holds the wanted units in a column ``unit``; ``excluded`` lists
     (target, excluded) pairs, and a target is never its own donor. ``kkt`` is the largest
-    violation of the optimality conditions, relative to the largest |x'y|/n (to the largest
-    |y| for a distributed pool), and ``capped`` tells whether a fit stopped at the step
-    limit.
+    violation of the optimality conditions, measured, relative to the largest |x'y|/n, and ``capped``
+    tells whether a fit stopped at the step limit.
 
     ``strategy`` is "shared" (every task holds the donor matrix), "distributed", or "auto",
     which shares a pool only after checking its size.
@@ -193,240 +191,143 @@ def _fit_shared(
 def _fit_distributed(
     donors: DataFrame, wanted: DataFrame, grid: tuple, n_alphas: int, folds: int, schema: str
 ) -> DataFrame:
-    """Fit targets a few at a time; the weights go from the tasks to a table.
+    """Fits against pools of any size: survivors of a screening, fitted in tasks, checked on the whole pool.
 
-    The driver holds the vectors of the current targets and sums of feature-sized
-    matrices, never donors or weights.
+    A first pass over the donors gives every target its most promising ones. Each target's whole grid is
+    then fitted in one task on those, and a pass over all donors looks, for every fit of the
+    grid and every fold, for donors whose gradient would let them in. A fit that no donor wants
+    to enter is the fit on the whole pool: the optimality conditions hold for all of it. Donors
+    that want to enter join the target's survivors, and only those targets are fitted again.
     """
-    spark = donors.sparkSession
-    path = scratch_path(spark, "weights")
-    spark.createDataFrame([], schema).write.parquet(path)
-    rows = wanted.toLocalIterator()
-    while first := next(rows, None):
-        n = len(first["vec"])
-        size = max(1, PASS_CELLS // (max(1, folds) * n * (n + 1)))
-        chunk = [first, *islice(rows, size - 1)]
-        _fit_chunk(donors, chunk, grid, n_alphas, folds, schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _fit_chunk(
-    donors: DataFrame, chunk: list, grid: tuple, n_alphas: int, folds: int, schema: str
+    id_type = donors.schema["unit"].dataType.simpleString()
+    pair = f"target {id_type}, unit {id_type}, vec array<double>, score double"
+    wanted = cut(wanted.select("unit", "vec", "excluded"))
+    n = donors.select(F.size("vec").alias("n")).first()["n"]
+    at_once = max(1, FIT_CELLS // (n * (len(grid) * n_alphas * max(1, min(folds, n)) + 1)))
+    held = max(SURVIVORS, 2 * n)
+    promising = _against_pool(donors, wanted, TARGETS_AT_ONCE, _promising(held), pair)
+    survivors = cut(_first_by_score(promising, held).select("target", "unit", "vec"))
+    open_, fits = wanted, None
+    while True:
+        found = cut(_fitted_on_survivors(open_, survivors, grid, n_alphas, folds, id_type))
+        settled = found if fits is None else fits.join(found.select("target"), "target", "left_anti").unionByName(found)
+        settled = cut(settled)
+        asked = found.join(wanted.select(F.col("unit").alias("target"), "excluded"), "target")
+        known = survivors.groupBy("target").agg(F.collect_set("unit").alias("known"))  # bounded by what fits took in
+        asked = asked.join(known, "target").select(
+            F.col("target").alias("unit"), "residuals", "levels", "tolerance", F.array_union(F.coalesce("excluded", F.array().cast(f"array<{id_type}>")), "known").alias("excluded")
+        )
+        entering = _against_pool(donors, asked, at_once, _entering(ADDED_DONORS), pair)
+        entering = cut(_first_by_score(entering, ADDED_DONORS).select("target", "unit", "vec"))
+        fits = settled
+        if entering.isEmpty():
+            break
+        survivors = cut(survivors.unionByName(entering))
+        open_ = wanted.join(entering.select(F.col("target").alias("unit")).distinct(), "unit", "left_semi")
+    kept = fits.select("target", F.explode("donors").alias("d"), "alpha", "l1_ratio", "cv_mse", "kkt", "capped")
+    named = kept.select("target", F.col("d.donor").alias("donor"), F.col("d.weight").alias("weight"), "alpha", "l1_ratio", "cv_mse", "kkt", "capped")
+    return named
+
+
+def _first_by_score(pairs: DataFrame, most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "unit"))
+    return pairs.withColumn("_place", place).filter(F.col("_place") <= most)
+
+
+def _against_pool(donors: DataFrame, asked: DataFrame, at_once: int, compare: Callable, schema: str) -> DataFrame:
+    """Blocks of ``asked`` rows against all donors, piece by piece, in tasks of bounded size."""
+    n_donors, n_asked = donors.count(), asked.count()
+    pieces, blocks = max(1, -(-n_donors // POOL_PIECE)), max(1, -(-n_asked // at_once))
+    deal = lambda n: F.pmod(F.xxhash64("unit"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = donors.select(deal(pieces).alias("piece"), every(blocks).alias("block"), "unit", "vec")
+    right = asked.select(every(pieces).alias("piece"), deal(blocks).alias("block"), *asked.columns)
+    return left.groupBy("piece", "block").cogroup(right.groupBy("piece", "block")).applyInPandas(compare, schema)
+
+
+def _allowed(units: pd.Series, unit, excluded) -> np.ndarray:
+    barred = {unit, *(excluded if excluded is not None else ())}
+    return ~units.isin(barred).to_numpy()
+
+
+def _promising(most: int) -> Callable:
+    """Tasks: the piece's donors that pull hardest on each target, and the one of largest |x'y|."""
+
+    def run(pool: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        x = np.stack(pool["vec"].tolist()) if len(pool) else np.zeros((0, 0))
+        for unit, vec, excluded in zip(asked["unit"], asked["vec"], asked["excluded"]) if len(pool) else ():
+            pull = x @ np.asarray(vec, dtype=float)
+            free = np.flatnonzero(_allowed(pool["unit"], unit, excluded))
+            if not len(free):
+                continue
+            best = free[np.argsort(-pull[free], kind="stable")[:most]]
+            score = pull[best]
+            # the largest |x'y| sets the penalties' path, whatever its sign; it comes first
+            top = free[np.abs(pull[free]).argmax()]
+            best, score = np.append(best[best != top], top), np.append(score[best != top], np.abs(pull[top]) + np.abs(score).max())
+            out.append(pd.DataFrame({"target": unit, "unit": pool["unit"].to_numpy()[best], "vec": pool["vec"].to_numpy()[best], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["target", "unit", "vec", "score"], dtype=object)
+
+    return run
+
+
+def _entering(most: int) -> Callable:
+    """Tasks: the piece's donors whose gradient lets them into some fit of a target's grid."""
+
+    def run(pool: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        x = np.stack(pool["vec"].tolist()) if len(pool) else np.zeros((0, 0))
+        for unit, raw, levels, tolerance, excluded in (
+            zip(asked["unit"], asked["residuals"], asked["levels"], asked["tolerance"], asked["excluded"]) if len(pool) else ()
+        ):
+            slack = np.frombuffer(levels) + tolerance
+            residuals = np.frombuffer(raw).reshape(len(slack), -1)
+            over = np.full(len(x), -np.inf)
+            for start in range(0, len(slack), 512):
+                over = np.maximum(over, (x @ residuals[start : start + 512].T - slack[start : start + 512]).max(axis=1))
+            over[~_allowed(pool["unit"], unit, excluded)] = -np.inf
+            best = np.argsort(-over, kind="stable")[:most]
+            best = best[over[best] > 0]
+            out.append(pd.DataFrame({"target": unit, "unit": pool["unit"].to_numpy()[best], "vec": pool["vec"].to_numpy()[best], "score": over[best]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["target", "unit", "vec", "score"], dtype=object)
+
+    return run
+
+
+def _fitted_on_survivors(
+    wanted: DataFrame, survivors: DataFrame, grid: tuple, n_alphas: int, folds: int, id_type: str
 ) -> DataFrame:
-    context = donors.sparkSession.sparkContext
-    names = [r["unit"] for r in chunk]
-    y = np.array([r["vec"] for r in chunk], dtype=float)
-    barred: dict = {}
-    for t, r in enumerate(chunk):
-        for name in {r["unit"], *(r["excluded"] or ())}:
-            barred.setdefault(name, []).append(t)
-    shared_barred = context.broadcast(barred)
-    n = y.shape[1]
-
-    def allowed(units: pd.Series, of_target: np.ndarray) -> np.ndarray:
-        """Donor x problem matrix: False where the donor is barred for the problem's target."""
-        free = np.ones((len(units), len(names)), dtype=bool)
-        for i, unit in enumerate(units):
-            for t in shared_barred.value.get(unit, ()):
-                free[i, t] = False
-        return free[:, of_target]
-
-    def summed(per_batch: Callable, length: int) -> np.ndarray:
-        """Sum of vectors made from batches of donors, in two levels of tasks."""
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(length)
-            for batch in batches:
-                for start in range(0, len(batch), 512):
-                    total += per_batch(batch.iloc[start : start + 512])
-            yield pd.DataFrame({"total": [total]})
-
-        def added(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"total": [np.sum(part["total"].tolist(), axis=0)]})
-
-        parts = donors.mapInPandas(partial, "total array<double>")
-        some = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32)).alias("g"))
-        rows = some.applyInPandas(added, "total array<double>").collect()
-        return np.sum([r["total"] for r in rows], axis=0)
-
-    def evaluate(theta, l1, l2, of_target):
-        """Dual penalty, fitted values and curvature of every problem: one pass over the donors."""
-        m = len(theta)
-
-        def per_batch(batch: pd.DataFrame) -> np.ndarray:
-            x = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
-            score = x @ theta.T - l1
-            used = (score > 0) & allowed(batch["unit"], of_target)
-            w = np.where(used, score, 0.0) / l2
-            outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), n * n)
-            curved = (used / l2).T @ outer
-            return np.concatenate([(w * w * l2 / 2).sum(axis=0), (w.T @ x).ravel(), curved.ravel()])
-
-        total = summed(per_batch, m * (1 + n + n * n))
-        return total[:m], total[m : m + m * n].reshape(m, n), total[m + m * n :].reshape(m, n, n)
-
-    def solve(goal, masks, l1, l2, of_target, theta):
-        """Newton steps on the dual; returns theta, fitted values, violation, convergence."""
-        rows = masks.sum(axis=1)
-        scale = np.maximum(np.abs(goal).max(axis=1), np.finfo(float).tiny)
-
-        def value(at, penalty):
-            return (goal * at).sum(axis=1) - rows / 2 * (at * at).sum(axis=1) - penalty
-
-        penalty, fitted, curved = evaluate(theta, l1, l2, of_target)
-        best = value(theta, penalty)
-        for _ in range(100):
-            slope = (goal - rows[:, None] * theta - fitted) * masks
-            violation = np.abs(slope).max(axis=1) / scale
-            open_ = violation > 1e-8
-            if not open_.any():
-                break
-            system = curved * (masks[:, :, None] * masks[:, None, :])
-            system += rows[:, None, None] * np.eye(n)
-            move = np.linalg.solve(system, slope[:, :, None])[:, :, 0] * masks * open_[:, None]
-            gain = (slope * move).sum(axis=1)
-            length = np.ones(len(theta))
-            for _ in range(40):
-                at = theta + length[:, None] * move
-                penalty, fitted, curved = evaluate(at, l1, l2, of_target)
-                now = value(at, penalty)
-                short = now < best + 1e-4 * length * gain - 1e-11 * np.abs(best)
-                if not short.any():
-                    break
-                length = np.where(short, length / 2, length)
-            theta, best = at, now
-        return theta, fitted, violation, ~open_
-
-    working: dict = {}  # donors of pure l1 fits by name; at most n of them carry weight
-
-    def solve_l1(goal, masks, l1, of_target, start):
-        """Pure l1 fits on a working set that takes in violating donors until none is left.
-
-        ``start`` and the result map donors to weights, problem by problem.
-        """
-        m = len(goal)
-        while True:
-            units = sorted(working)
-            x = np.array([working[u] for u in units]).reshape(len(units), n).T
-            solved, theta, fitted, fine = [], np.zeros((m, n)), np.zeros((m, n)), np.ones(m, dtype=bool)
-            for j in range(m):
-                rows = masks[j] > 0
-                use = [c for c, u in enumerate(units) if of_target[j] not in barred.get(u, ())]
-                w = np.array([start[j].get(units[c], 0.0) for c in use])
-                if use:
-                    w, fine[j] = nonnegative_weights(x[rows][:, use], goal[j][rows], l1[j], 0.0, w)
-                    fitted[j] = x[:, use] @ w
-                theta[j] = (goal[j] - fitted[j]) * masks[j] / rows.sum()
-                solved.append({units[c]: v for c, v in zip(use, w) if v > 0})
-            scale = np.abs(goal).max(axis=1) ** 2
-            known = set(units)
-
-            def violating(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    vecs = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
-                    score = np.where(allowed(batch["unit"], of_target), vecs @ theta.T - l1, 0.0) / scale
-                    score[[u in known for u in batch["unit"]]] = 0.0
-                    d, j = np.nonzero(score > TOLERANCE)
-                    yield pd.DataFrame(
-                        {
-                            "j": j,
-                            "score": score[d, j],
-                            "unit": batch["unit"].to_numpy()[d],
-                            "vec": batch["vec"].to_numpy()[d],
-                        }
-                    )
-
-            unit_type = donors.schema["unit"].dataType.simpleString()
-            found = donors.mapInPandas(violating, f"j int, score double, unit {unit_type}, vec array<double>")
-            place = F.row_number().over(Window.partitionBy("j").orderBy(F.desc("score"), "unit"))
-            added = found.withColumn("place", place).filter(F.col("place") <= ADDED_DONORS).collect()
-            if not added:
-                return solved, theta, fitted, fine
-            working.update({r["unit"]: r["vec"] for r in added})
-            start = solved
-
-    every = np.arange(len(names))
-
-    def strongest(batch: pd.DataFrame) -> np.ndarray:
-        x = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
-        return np.where(allowed(batch["unit"], every), np.abs(x @ y.T), 0.0).max(axis=0)
-
-    def peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            top = strongest(batch)
-            yield pd.DataFrame({"t": every, "top": top})
-
-    tops = donors.mapInPandas(peaks, "t int, top double").groupBy("t").agg(F.max("top").alias("top"))
-    top = np.zeros(len(names))
-    for r in tops.collect():
-        top[r["t"]] = r["top"]
-    top = np.maximum(top / n, np.finfo(float).tiny * 1e6)
-    path = np.geomspace(1.0, 1e-3, n_alphas)
+    """One row per target: its donors, diagnostics, and the residuals of every fit of its grid."""
+    schema = (
+        f"target {id_type}, donors array<struct<donor:{id_type},weight:double>>, alpha double, l1_ratio double, "
+        "cv_mse double, kkt double, capped boolean, residuals binary, levels binary, tolerance double"
+    )
+    packed = survivors.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("unit", "vec"))).alias("pool"))
+    rows = wanted.join(packed, F.col("unit") == F.col("target")).select("target", "vec", "pool")
+    tasks = max(1, min(rows.count(), 4 * wanted.sparkSession.sparkContext.defaultParallelism))
 
-    folds = min(folds, n)
-    held = np.zeros((max(1, folds), n))
-    for f, part in enumerate(np.array_split(np.arange(n), folds) if folds > 1 else [np.arange(n)]):
-        held[f, part] = 1.0
-    train = 1.0 - held if folds > 1 else np.ones((1, n))
-    errors = np.full((len(names), len(grid), n_alphas), np.inf)
-    fine = np.ones(len(names), dtype=bool)
-
-    def record(i: int, step: int, fitted: np.ndarray, done: np.ndarray) -> None:
-        missed = ((y[t] - fitted) ** 2 * held[f]).sum(axis=1) / held[f].sum(axis=1)
-        errors[:, i, step] = missed.reshape(len(names), -1).mean(axis=1)
-        np.logical_and(fine, done.reshape(len(names), -1).all(axis=1), out=fine)
-
-    t, f = np.repeat(every, len(held)), np.tile(np.arange(len(held)), len(names))
-    masks, goal = train[f], y[t] * train[f]
-    for i, ratio in enumerate(grid):
-        theta, start = goal / masks.sum(axis=1)[:, None], [{} for _ in t]
-        for step, share in enumerate(path):
-            alpha = share * top[t] / ratio
-            if ratio < 1:
-                theta, fitted, _, done = solve(goal, masks, alpha * ratio, alpha * (1 - ratio), t, theta)
-            else:
-                start, _, fitted, done = solve_l1(goal, masks, alpha, t, start)
-            record(i, step, fitted, done)
-    best = errors.reshape(len(names), -1).argmin(axis=1)
-    ratio = np.array(grid)[best // n_alphas]
-    alpha = path[best % n_alphas] * top / ratio
-    error = errors.reshape(len(names), -1)[every, best]
-    mixed, pure = np.flatnonzero(ratio < 1), np.flatnonzero(ratio >= 1)
-    tables = []
-    if len(mixed):
-        l1, l2 = (alpha * ratio)[mixed], (alpha * (1 - ratio))[mixed]
-        theta, _, violation, done = solve(y[mixed], np.ones((len(mixed), n)), l1, l2, mixed, y[mixed] / n)
-        capped = ~(fine[mixed] & done)
-
-        def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = np.stack([np.asarray(v, dtype=float) for v in batch["vec"]])
-                score = np.where(allowed(batch["unit"], mixed), x @ theta.T - l1, 0.0)
-                d, k = np.nonzero(score > 0)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for target, vec, pool in zip(batch["target"], batch["vec"], batch["pool"]):
+                names = [r["unit"] for r in pool]
+                x = np.array([r["vec"] for r in pool], dtype=float).T
+                trace: list[tuple[np.ndarray, float]] = []
+                found = cross_validated_weights(x, np.asarray(vec, dtype=float), grid, n_alphas, folds, trace)
+                positive = np.flatnonzero(found["weights"] > 0)
+                scale = max(float(np.abs(x.T @ np.asarray(vec, dtype=float)).max()) / len(vec), np.finfo(float).tiny)
                 yield pd.DataFrame(
                     {
-                        "target": [names[mixed[j]] for j in k],
-                        "donor": batch["unit"].to_numpy()[d],
-                        "weight": score[d, k] / l2[k],
-                        "alpha": alpha[mixed][k],
-                        "l1_ratio": ratio[mixed][k],
-                        "cv_mse": error[mixed][k],
-                        "kkt": violation[k],
-                        "capped": capped[k],
+                        "target": [target],
+                        "donors": [[{"donor": names[i], "weight": float(found["weights"][i])} for i in positive]],
+                        **{c: [found[c]] for c in ("alpha", "l1_ratio", "cv_mse", "kkt", "capped")},
+                        "residuals": [np.concatenate([r for r, _ in trace]).astype(float).tobytes()],
+                        "levels": [np.array([l for _, l in trace], dtype=float).tobytes()],
+                        "tolerance": [TOLERANCE * scale],
                     }
                 )
 
-        tables.append(donors.mapInPandas(weights, schema))
-    if len(pure):
-        found, _, _, done = solve_l1(y[pure], np.ones((len(pure), n)), alpha[pure], pure, [{} for _ in pure])
-        # at most one donor per feature row carries weight in a pure l1 fit
-        rows = [
-            (names[j], donor, float(w), float(alpha[j]), 1.0, float(error[j]), TOLERANCE, not (fine[j] and done[k]))
-            for k, j in enumerate(pure)
-            for donor, w in found[k].items()
-        ]
-        tables.append(donors.sparkSession.createDataFrame(rows, schema))
-    return reduce(DataFrame.unionByName, tables)
+    return rows.repartition(tasks).mapInPandas(fit, schema)
 
 
 def alpha_path(x: np.ndarray, y: np.ndarray, l1_ratio: float, n_alphas: int) -> np.ndarray:
@@ -512,9 +413,18 @@ def _unconstrained(
 
 
 def cross_validated_weights(
-    x: np.ndarray, y: np.ndarray, l1_ratios: Sequence[float], n_alphas: int, folds: int
+    x: np.ndarray, y: np.ndarray, l1_ratios: Sequence[float], n_alphas: int, folds: int, trace: list | None = None
 ) -> dict:
-    """Weights at the penalty with the smallest mean squared error over the folds."""
+    """Weights at the penalty with the smallest mean squared error over the folds.
+
+    ``trace`` receives, for every fit made, the residuals divided by their number (0 where a row
+    is held out) and the l1 level a column's product with them must pass to enter.
+    """
+
+    def note(rows: np.ndarray, w: np.ndarray, l1: float) -> None:
+        if trace is not None:
+            trace.append((np.where(rows, y - x @ w, 0.0) / rows.sum(), l1))
+
     n = len(y)
     folds = min(folds, n)
     errors = np.zeros((len(l1_ratios), n_alphas))
@@ -528,11 +438,13 @@ def cross_validated_weights(
             for step, alpha in enumerate(paths[i]):
                 w, done = nonnegative_weights(x[train], y[train], alpha * ratio, alpha * (1 - ratio), w)
                 capped |= not done
+                note(train, w, alpha * ratio)
                 errors[i, step] += np.mean((y[held_out] - x[held_out] @ w) ** 2) / folds
     # ties go to the earlier ratio and the larger penalty
     i, step = np.unravel_index(np.argmin(errors), errors.shape)
     alpha, ratio = float(paths[i][step]), float(l1_ratios[i])
     w, done = nonnegative_weights(x, y, alpha * ratio, alpha * (1 - ratio))
+    note(np.ones(n, dtype=bool), w, alpha * ratio)
     slope = x.T @ (y - x @ w) / n - alpha * ratio - alpha * (1 - ratio) * w
     worst = np.where(w > 0, np.abs(slope), np.maximum(slope, 0.0)).max()
     return {

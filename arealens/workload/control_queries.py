@@ -23,10 +23,12 @@ from arealens.operators.density import kde
 from arealens.operators.synthetic import (
     donor_pool,
     exclusions,
+    fit_weights,
     normalised_weights,
     synthetic_trajectory,
+    unit_vectors,
 )
-from arealens.plans.control import synthetic_control
+from arealens.plans.control import pre_period_features, synthetic_control
 from arealens.session import cut
 
 from .registry import Tables, query
@@ -124,10 +126,28 @@ def synthetic_control_weights(t: Tables) -> DataFrame:
 def synthetic_control_status(t: Tables) -> DataFrame:
     """No nation is lost for want of features, and fits meet the optimality conditions."""
     complete = F.col("status") != "features missing"
-    exact = (F.coalesce("kkt", F.lit(0.0)) < 1e-7) & ~F.coalesce("capped", F.lit(False))
+    exact = F.when(F.col("status") == "fitted", F.coalesce((F.col("kkt") < 1e-7) & ~F.col("capped"), F.lit(False))).otherwise(F.col("status") == "no weight")
     return nation_control(t).status.select("target", complete.alias("complete"), exact.alias("exact"))
 
 
+@query(
+    """select distinct c_nationkey as target, true as same, true as exact from customer join orders on o_custkey = c_custkey"""
+)
+def large_pool_control_equals_shared(t: Tables) -> DataFrame:
+    """Every nation fitted against the distributed pool, beside the fit of the shared one."""
+    places = small_areas(t).groupBy(F.col("nation_code").alias("unit")).agg(F.avg("lati").alias("lat"), F.avg("long").alias("long"))
+    features = pre_period_features(nation_rates(t).select("unit", "date", "rolling_rate"), end="1999-01-01")
+    vectors = cut(unit_vectors(features, "unit", ["feature", "month"], "value"))
+    barred = cut(exclusions(places, "unit", "lat", "long", 5))
+    fit = lambda way: fit_weights(vectors, vectors.select("unit"), barred, (0.5, 0.9), 15, 5, way)
+    one = fit("shared").select("target", "donor", F.col("weight").alias("wanted"), F.col("alpha").alias("wanted_alpha"))
+    both = one.join(fit("distributed"), ["target", "donor"], "full")
+    close = (F.abs(F.col("weight") - F.col("wanted")) < 1e-6) & (F.abs(F.col("alpha") / F.col("wanted_alpha") - 1) < 1e-9)
+    judged = both.groupBy("target").agg(F.bool_and(F.coalesce(close, F.lit(False))).alias("same"), F.bool_and(F.coalesce((F.col("kkt") < 1e-7) & ~F.col("capped"), F.lit(False))).alias("exact"))
+    listed = places.select(F.col("unit").alias("target")).join(judged, "target", "left")
+    return listed.select("target", F.coalesce("same", F.lit(True)).alias("same"), F.coalesce("exact", F.lit(True)).alias("exact"))
+
+
 @query()
 def synthetic_control_trajectories(t: Tables) -> DataFrame:
     """Observed and synthetic rate of every nation and day."""

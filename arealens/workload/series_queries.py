@@ -199,13 +199,13 @@ def seasons_from_a_table(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with {PROMOTIONS_SQL}, few as (select * from promotions where promotion % 40 < 3)
+    f"""with {PROMOTIONS_SQL}, few as (select * from promotions where promotion % 40 < 6)
     select distinct a.promotion as first, b.promotion as second from few a join few b
       on a.promotion <> b.promotion and b.start >= a.start and b.start < a."end" """
 )
 def overlapping_promotions(t: Tables) -> DataFrame:
-    """Offers of up to three days, by the filter on length, that start while another runs."""
-    few = promotions(t).where(F.col("promotion") % 40 < 3)
+    """Offers of up to six days, that start while another runs."""
+    few = promotions(t).where(F.col("promotion") % 40 < 6)
     return overlapping(few, "promotion")
 
 

@@ -80,7 +80,10 @@ def test_planted_donors_are_recovered(spark):
 
 def test_distributed_pool_gives_the_same_weights(spark, monkeypatch):
     monkeypatch.setattr(S, "ADDED_DONORS", 2)
-    vectors = planted(spark).repartition(3)
+    monkeypatch.setattr(S, "SURVIVORS", 3)
+    monkeypatch.setattr(S, "POOL_PIECE", 6)
+    monkeypatch.setattr(S, "FIT_CELLS", 1)
+    vectors = planted(spark, 5, 20).repartition(3)
     targets = spark.createDataFrame([("u00",), ("u05",)], "unit string")
     barred = spark.createDataFrame([("u05", "u06")], "target string, excluded string")
     for grid in ((0.6,), (1.0,)):
@@ -93,6 +96,21 @@ def test_distributed_pool_gives_the_same_weights(spark, monkeypatch):
             assert spread[key]["weight"] == pytest.approx(row["weight"], abs=1e-7)
             assert spread[key]["alpha"] == pytest.approx(row["alpha"])
             assert spread[key]["cv_mse"] == pytest.approx(row["cv_mse"], rel=1e-6)
+            assert spread[key]["kkt"] < 1e-7 and not spread[key]["capped"]
+
+
+def test_a_distributed_pool_takes_in_donors_it_left_out(spark, monkeypatch):
+    taken = []
+    entering = S._first_by_score
+    monkeypatch.setattr(S, "SURVIVORS", 2)
+    monkeypatch.setattr(S, "_first_by_score", lambda pairs, most: taken.append(most) or entering(pairs, most))
+    vectors = planted(spark, 4, 40)
+    targets = spark.createDataFrame([("u00",), ("u09",), ("nobody",)], "unit string")
+    shared, spread = (
+        sorted((r.target, r.donor, round(r.weight, 7)) for r in S.fit_weights(vectors, targets, None, (0.3,), 9, 2, way).collect())
+        for way in ("shared", "distributed")
+    )
+    assert shared == spread and len(taken) > 2
 
 
 def test_a_pool_over_the_limit_is_not_shared(spark, monkeypatch):
