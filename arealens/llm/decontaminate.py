@@ -11,8 +11,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Most distinct benchmark windows whose hashes are shipped with the plan; more are joined.
+#: Most distinct benchmark windows whose hashes are shipped with the plan as they are.
 BROADCAST_WINDOWS = 50_000
+#: Most bits of the map that is shipped for more windows than that (16 MB), and bits a window gets.
+MAP_BITS, BITS_EACH = 1 << 27, 32
+#: Bits of one map of Spark's bitmap aggregate.
+BUCKET_BITS = 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -69,8 +73,11 @@ def find_contamination(
     counted once. ``spans`` are the merged runs of hit words (start, end), 0-based, end exclusive.
 
     Up to ``broadcast_windows`` distinct hashes, counted first, travel with the plan as a
-    hash set; a larger benchmark is joined by hash instead, and both ways give the same rows.
-    Either way documents are read in one pass and only hits are shuffled with their words.
+    hash set. Of a larger benchmark a map of bits does, two for each hash, of at most MAP_BITS;
+    a window passes where both its bits are set. Either way documents are read in one pass,
+    only windows that pass leave it with their words, and the comparison of words decides, so
+    that the rows are the same. (At a million windows about one in 300 others passes the map,
+    at ten million about one in 50, at a hundred million three in five.)
 
     Null and empty texts have no words. Rows that repeat an id and text are one document; an id
     with several texts has a row for each. Repeated items count once per item id; a null item
@@ -83,6 +90,7 @@ def find_contamination(
     few = [r[0] for r in hashes.limit(broadcast_windows + 1).collect()]
     listed = len(few) <= broadcast_windows
     heads: dict[int, list[int]] = {n: [] for n in sizes}
+    bits, slots = (None, 0) if listed else _bit_map(hashes)
     if listed:
         for n, head in grams.select("size", "head").distinct().collect():
             heads[n].append(head)
@@ -96,6 +104,10 @@ def find_contamination(
         at = _starts(F.col("_words"), n)
         if listed:
             at = F.filter(at, lambda i: _pair(F.col("_wh"), i, n).isin(heads[n]) & F.xxhash64(_window(i, n)).isin(few))
+        else:
+            marked = F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(_window(i, n)).alias("h")))
+            set_twice = lambda x: _is_set(bits, _slots(x["h"], slots)[0]) & _is_set(bits, _slots(x["h"], slots)[1])
+            at = F.transform(F.filter(marked, set_twice), lambda x: x["i"])
         return F.transform(at, lambda i: _hit(i, n))
 
     found = F.flatten(F.array(*map(hits, sizes))) if sizes else F.lit(None).cast("array<struct<at:int,size:int,gram:string>>")
@@ -122,6 +134,34 @@ def find_contamination(
     )
 
 
+def _slots(value: Column, slots: int) -> tuple[Column, Column]:
+    """The two bits of a hash in a map of ``slots`` bits, a power of two: its low and its high digits."""
+    return value.bitwiseAND(slots - 1), F.shiftrightunsigned(value, 64 - (slots.bit_length() - 1))
+
+
+def _bit_map(hashes: DataFrame) -> tuple[Column, int]:
+    """(bytes, bits) of the map of these hashes; what the driver gets is bounded by MAP_BITS."""
+    slots = BUCKET_BITS
+    wanted = min(MAP_BITS, hashes.count() * BITS_EACH)
+    while slots < wanted:
+        slots *= 2
+    places = hashes.select(F.explode(F.array(*_slots(F.col("hash"), slots))).alias("slot"))
+    maps = places.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")
+    )
+    whole = bytearray(slots // 8)
+    for bucket, part in maps.collect():
+        start = (bucket - 1) * BUCKET_BITS // 8
+        whole[start : start + len(part)] = part
+    return F.lit(bytes(whole)), slots
+
+
+def _is_set(bits: Column, slot: Column) -> Column:
+    byte = F.substr(bits, (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))
+    number = F.ascii(F.decode(byte, "ISO-8859-1"))
+    return F.bit_get(number, slot.bitwiseAND(7).cast("int")) == 1
+
+
 def _hit(at: Column, size: int) -> Column:
     return F.struct(
         at.alias("at"), F.lit(size).alias("size"), F.array_join(_window(at, size), " ").alias("gram")
