@@ -52,7 +52,7 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(_table(spark, folder, "pages"), path)
-    return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def _digest_columns(found: DataFrame, size: str, *more: Column) -> DataFrame:

@@ -114,11 +114,26 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record as it was: its fields, the full payload, and the exact record bytes."""
+    """Every record as it was: its fields, the full payload, and the exact record bytes.
+
+    Headers are joined to the payloads they name. ``payload_bytes`` and ``payload_digest`` are
+    taken from the joined payload; a header that states another digest, or another
+    length of its own block, stops the job.
+    """
     ends = F.lit("\r\n\r\n").cast("binary")
     own = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
     records = read_headers(spark, path).join(read_payloads(spark, path), "key")
-    return records.withColumn("record", F.concat("header", own, ends))
+    records = records.withColumns(
+        {
+            "payload_bytes": F.octet_length("payload").cast("long"),
+            "payload_digest": base32_of_hex(F.sha1("payload")),
+            "record": F.concat("header", own, ends),
+        }
+    )
+    block = F.octet_length("record") - F.octet_length("header") - 4
+    sound = (F.col("payload_digest") == F.col("stated_digest")) & (block == _field("Content-Length").try_cast("long"))
+    wrong = F.raise_error(F.lit("record does not match its header")).cast("string")
+    return records.withColumn("payload_digest", F.when(sound, F.col("payload_digest")).otherwise(wrong))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
