@@ -115,6 +115,16 @@ def test_decontamination_cases(spark, bound):
     assert by_id(decontaminate.remove_spans(docs, items))[2].text == texts[1][1]
 
 
+def test_bit_map_of_windows_holds_every_hash(spark):
+    hashes = spark.range(3000).selectExpr("xxhash64(id) as hash")
+    bits, slots = decontaminate._bit_map(hashes)
+    first, second = (decontaminate._is_set(bits, s) for s in decontaminate._slots(mixing.F.col("hash"), slots))
+    assert hashes.where(first & second).count() == 3000
+    others = spark.range(100_000, 110_000).selectExpr("xxhash64(id) as hash")
+    assert others.where(first & second).count() < 150
+    assert decontaminate._bit_map(hashes.where("false"))[1] == decontaminate.BUCKET_BITS
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "http://b/\r\nq", None), (4, "u", ""), (5, "u", "é" * 40_000), (5, "u", "é" * 40_000), (6, "u", "y\r\n\r\nWARC-Type: z")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, key string")
@@ -128,7 +138,16 @@ def test_archive_round_trip(spark, tmp_path):
         own = bytes(r.payload) if r.record_type == "response" else b""
         assert rest == own + b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n")
         assert f"Content-Length: {len(own)}".encode() in head
+    index = warc.read_index(spark, f"file://{tmp_path}/a").collect()
+    facts = lambda rows: sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in rows)
+    assert facts(index) == facts(back) and {r.payload_bytes for r in back if r.page_id == 5} == {80_000}
     assert warc.read_payloads(spark, f"file://{tmp_path}/a").count() == 4
+    headers = spark.read.parquet(f"file://{tmp_path}/a/headers")
+    longer = headers.selectExpr("cast(replace(cast(header as string), 'Content-Length: 1\r', 'Content-Length: 2\r') as binary) as header", "key")
+    longer.write.parquet(f"file://{tmp_path}/d/headers")
+    spark.read.parquet(f"file://{tmp_path}/a/payloads").write.parquet(f"file://{tmp_path}/d/payloads")
+    with pytest.raises(Exception, match="does not match its header"):
+        warc.read_records(spark, f"file://{tmp_path}/d").collect()
     warc.write_archive(pages, f"file://{tmp_path}/b", min_bytes=2)
     kinds = {r.page_id: r.record_type for r in warc.read_index(spark, f"file://{tmp_path}/b").collect()}
     assert kinds[1] == kinds[3] == "response"
@@ -154,6 +173,27 @@ def test_large_rates_do_not_underflow(spark):
     assert abs(sum(1 for s in steps if s < 0.5) - 5000) <= 1
 
 
+def test_poisson_windows_are_short_and_right(spark):
+    rates = [1e-9, 0.4, 7.0, 150.0, 400.0, 20_000.0, 1_000_000.0]
+    rows = spark.createDataFrame([(r,) for r in rates], "rate double").select("rate", mixing.poisson_window(mixing.F.col("rate")).alias("w"))
+    found = {r.rate: r.w for r in rows.collect()}
+    for rate in rates:
+        first, steps = found[rate]
+        k = np.arange(first + len(steps))
+        logs = k * np.log(rate) - rate - np.concatenate([[0], np.cumsum(np.log(k[1:]))])
+        wanted = np.cumsum(np.exp(logs))
+        assert len(steps) <= 24 * rate**0.5 + 63 and steps[-1] == 1
+        assert first == 0 or wanted[first - 1] < 1e-16
+        assert np.allclose(steps, wanted[first:], atol=1e-7 if rate > 1000 else 1e-13)
+
+
+def test_a_source_with_a_large_rate(spark):
+    docs = spark.createDataFrame([(1, "ab", "rare"), (2, "x" * 400_000, "bulk")], "doc_id long, text string, source string")
+    found = mixing.mix(docs, {"rare": 1.0, "bulk": 0.0}, budget=200_000.0).select("doc_id", "copy", "n_copies").collect()
+    assert {r.doc_id for r in found} == {1} and abs(len(found) - 100_000) < 2500
+    assert sorted(r.copy for r in found) == list(range(found[0].n_copies))
+
+
 def test_private_terms_are_found_by_what_they_reveal(spark):
     texts = [(i, f"write to Zebulon at one@mail.example about ordinary matters {' '.join(words(i, 12))}") for i in range(4)]
     texts += [(10 + i, f"ordinary matters and about what to write {' '.join(words(50 + i, 12))}") for i in range(60)]
