@@ -84,6 +84,14 @@ def find_contamination(
     id counts as an item without a name. Empty tables give no rows, or no hits. Other columns
     are ignored.
     """
+    found = _judged(docs, items, window, broadcast_windows, id_col, text_col, item_col, item_text_col)
+    return found.select(F.col("_id").alias(id_col), "n_words", "n_hit", "n_items", "items", "spans")
+
+
+def _judged(
+    docs: DataFrame, items: DataFrame, window: int, broadcast_windows: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> DataFrame:
+    """``find_contamination`` with the hash of each text: _id, _mark and its columns."""
     grams = stored(benchmark_windows(items, window, item_col, item_text_col), "benchmark-windows")
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # at most ``window`` of them
     hashes = grams.select("hash").distinct()
@@ -120,12 +128,14 @@ def find_contamination(
         F.max("_n").alias("_n"), F.collect_set(at).alias("_at"), F.array_sort(F.collect_set(item)).alias("items")
     )
     return per_doc.select(
-        F.col("_id").alias(id_col),
+        "_id",
+        "_mark",
         F.col("_n").cast("long").alias("n_words"),
         _merged(F.array_sort("_at")).alias("spans"),
         "items",
     ).select(
-        id_col,
+        "_id",
+        "_mark",
         "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -184,12 +194,27 @@ def _merged(hits: Column) -> Column:
     return F.aggregate(hits, empty, add)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, max_share: float = 0.0, **options) -> DataFrame:
-    """The documents whose share of hit words is at most ``max_share``, with all their columns."""
-    id_col = options.get("id_col", "doc_id")
-    found = find_contamination(docs, items, **options)
-    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words"))).select(id_col)
-    return docs.join(bad.distinct(), id_col, "left_anti")
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    max_share: float = 0.0,
+    window: int = WINDOW,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The documents whose share of hit words is at most ``max_share``, with all their columns.
+
+    Rows go by id and text, so one is never lost because another has its id; a null id is
+    an id like others.
+    """
+    found = _judged(docs, items, window, broadcast_windows, id_col, text_col, item_col, item_text_col)
+    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words")))
+    bad = bad.select(F.col("_id").alias("_gone"), F.col("_mark").alias("_gone_mark")).distinct()
+    same = docs[id_col].eqNullSafe(bad["_gone"]) & (F.xxhash64(docs[text_col]) == bad["_gone_mark"])
+    return docs.join(bad, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
