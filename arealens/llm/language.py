@@ -25,6 +25,8 @@ LEND = 20.0
 TEMPER = 1 / 3
 #: A document is rejected when its best language is less probable than this.
 LEAST = 0.5
+#: Prior probability, beside all languages together, of text that is in none of them.
+FOREIGN = 1e-4
 #: Fewest letters that count as text.
 LETTERS = 1
 
@@ -125,8 +127,9 @@ def _log_likelihoods(model: Model):
                 column[own] = values
                 sums[:, j] = np.bincount(owner, weights=column[bins], minlength=n)
             lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * m, pa.array(sums.ravel()))
+            used = pa.array(np.bincount(owner, minlength=n).astype(np.int64))
             kept = [rows.column(i) for i, name in enumerate(rows.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(letters.astype(np.int64))], names=["id", "declared", "host", "parent", "suffix", "ll", "letters"])
+            yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(letters.astype(np.int64)), used], names=["id", "mark", "declared", "host", "parent", "suffix", "ll", "letters", "trigrams"])
 
     return score
 
@@ -159,23 +162,33 @@ def identify(
       of text-only posteriors over the whole table, merged before they are shuffled, and only
       narrow rows are joined to them.
 
-    Rejected (accepted false) are texts without letters and texts whose best language stays
-    below ``least``. A null text is empty and rejected with language null, as is everything when
+    Rejected (accepted false) are texts without letters, texts whose best language stays
+    below ``least``, and texts in none of the languages: against the best language's model stands one
+    that draws every trigram with equal chance and has prior FOREIGN, and the text goes where
+    that explains it better. Text in a known language is some nats a trigram more likely
+    than by chance; random letters and unknown scripts are mostly trigrams the model has not
+    seen and are less likely. A null text is empty and rejected with language null, as is everything when
     no row has a label. Null labels and addresses count as undeclared and as the unnamed host.
     Every row has its own result, also when ids repeat. Other columns are ignored.
     """
+    found = _judged(docs, id_col, text_col, label_col, address_col, least, sample)
+    return found.select(F.col("id").alias(id_col), "language", "probability", "letters", "accepted")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, label_col: str, address_col: str, least: float, sample: int) -> DataFrame:
+    """``identify`` with the hash of each row's text: id, mark, language, probability, letters, accepted."""
     names, model = fit(docs, id_col, text_col, label_col, sample)
     host, parent, suffix = host_parts(F.col(address_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("id"), declared_tag(text, F.col(label_col)).alias("declared"),
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), declared_tag(text, F.col(label_col)).alias("declared"),
         host.alias("host"), parent.alias("parent"), suffix.alias("suffix"), text.alias("text"),
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, declared string, host string, parent string, suffix string, ll array<double>, letters long"
+    schema = f"id {kind}, mark long, declared string, host string, parent string, suffix string, ll array<double>, letters long, trigrams long"
     scored = stored(rows.mapInArrow(_log_likelihoods(model), schema), "language-scores")
     if not names:
-        return scored.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("language"),
+        return scored.select("id", "mark", F.lit(None).cast("string").alias("language"),
                              F.lit(0.0).alias("probability"), "letters", F.lit(False).alias("accepted"))
     m = len(names)
     spread = F.array(*[F.lit(1.0 / m)] * m)
@@ -213,16 +226,33 @@ def identify(
     fused = fused.withColumn("posterior", _softmax(score))
     best = F.array_max("posterior")
     has_text = F.col("letters") >= LETTERS
+    own = F.get("ll", (F.array_position("posterior", best) - 1).cast("int"))
+    above_chance = TEMPER * (own + F.col("trigrams") * float(np.log(BINS)))
     return fused.select(
-        F.col("id").alias(id_col),
+        "id",
+        "mark",
         F.when(has_text, F.get(F.array(*map(F.lit, names)), (F.array_position("posterior", best) - 1).cast("int"))).alias("language"),
         F.when(has_text, best).otherwise(F.lit(0.0)).alias("probability"),
         "letters",
-        (has_text & (best >= least)).alias("accepted"),
+        (has_text & (best >= least) & (above_chance >= float(np.log(FOREIGN)))).alias("accepted"),
     )
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The documents with an accepted language, with all their columns; null ids stay."""
-    rejected = identify(docs, id_col, **options).where(~F.col("accepted")).select(id_col)
-    return docs.join(rejected.distinct(), id_col, "left_anti")
+def keep_identified(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "lang",
+    address_col: str = "source",
+    least: float = LEAST,
+    sample: int = SAMPLE,
+) -> DataFrame:
+    """The documents with an accepted language, with all their columns.
+
+    Rows go by id and text, so one is never lost because another has its id; a null id is
+    an id like others.
+    """
+    found = _judged(docs, id_col, text_col, label_col, address_col, least, sample)
+    gone = found.where(~F.col("accepted")).select(F.col("id").alias("_gone"), F.col("mark").alias("_gone_mark")).distinct()
+    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (mark == gone["_gone_mark"]), "left_anti")
