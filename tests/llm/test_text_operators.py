@@ -115,6 +115,34 @@ def test_decontamination_cases(spark, bound):
     assert by_id(decontaminate.remove_spans(docs, items))[2].text == texts[1][1]
 
 
+def test_stages_drop_rows_by_id_and_text(spark):
+    test, clean = " ".join(words(1, 30)), " ".join(words(2, 30))
+    items = spark.createDataFrame([(1, test)], "item_id long, text string")
+    docs = frame(spark, [(1, test), (1, clean), (None, test), (None, clean), (2, None)])
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, clean), (None, clean), (2, None)], key=str)
+    left = language.keep_identified(docs.unionByName(frame(spark, [(1, "12 34 5"), (None, "..")])))
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, test), (1, clean), (None, test), (None, clean)], key=str)
+
+
+def test_text_of_no_known_language_is_rejected(spark):
+    draw = random.Random(9)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    junk = [" ".join("".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(draw.randint(3, 9))) for _ in range(60)) for _ in range(40)]
+    greek = [" ".join("".join(chr(draw.randint(0x3B1, 0x3C9)) for _ in range(draw.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    planted = spark.createDataFrame([(10**9 + i, t, None, None) for i, t in enumerate(junk + greek)], table.schema)
+    hidden = table.withColumn("lang", mixing.F.expr("if(pmod(xxhash64(doc_id, 3), 2) = 0, null, lang)"))  # half without labels
+    found = by_id(language.identify(hidden.unionByName(planted)))
+    assert [i for i in range(60) if found[10**9 + i].accepted] == []  # rows with a label would teach it
+    truth = {r.doc_id: r for r in table.collect()}
+    masked = {r.doc_id for r in hidden.where("lang is null").collect()}
+    judged = [i for i in masked if truth[i].lang and found[i].letters > 20]
+    assert len(judged) > 100 and sum(found[i].language == truth[i].lang for i in judged) >= 0.98 * len(judged)
+    assert sum(found[i].accepted for i in truth if found[i].letters > 20) >= 0.99 * len(truth)
+
+
 def test_bit_map_of_windows_holds_every_hash(spark):
     hashes = spark.range(3000).selectExpr("xxhash64(id) as hash")
     bits, slots = decontaminate._bit_map(hashes)
