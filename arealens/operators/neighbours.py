@@ -106,7 +106,8 @@ def knn(
     Without ``refs`` a table is matched with itself: the row itself is never counted among
     its ``k`` neighbours, and with ``include_self`` it comes first, at rank 1, so results
     have k + 1 rows. ``strategy`` is "auto", "small" or "balls". ``probe`` limits the
-    search to that many closest balls, which is approximate.
+    search to that many closest balls, which is approximate; a query whose balls hold too
+    few rows goes on to the next ones, so that it finds as many rows as the exact search.
     """
     is_self = refs is None
     query_rows = as_vectors(queries, id_col, features)
@@ -306,21 +307,22 @@ def _search_balls(
     )
     # per ball: size, radii, and the few members nearest the pivot (at most pivots x need)
     summary = balls.groupBy("ball").agg(
-        F.count(F.lit(1)).alias("size"), F.min("away").alias("inner"), F.max("away").alias("outer")
+        F.count(F.lit(1)).alias("size"), F.sum(F.size("ids")).alias("held"), F.min("away").alias("inner"), F.max("away").alias("outer")
     ).collect()
     member = F.row_number().over(Window.partitionBy("ball").orderBy("away"))
     closest = (
         balls.select("ball", "away", member.alias("_m")).filter(F.col("_m") <= need).collect()
     )
-    size = np.zeros(len(pivots), dtype=np.int64)
+    size, held = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots), dtype=np.int64)
     inner, outer = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for r in summary:
-        size[r["ball"]], inner[r["ball"]], outer[r["ball"]] = r["size"], r["inner"], r["outer"]
+        size[r["ball"]], held[r["ball"]] = r["size"], r["held"]
+        inner[r["ball"]], outer[r["ball"]] = r["inner"], r["outer"]
     nearest_members = np.full((len(pivots), need), np.inf)
     for r in closest:
         nearest_members[r["ball"], r["_m"] - 1] = r["away"]
     pieces = np.maximum(1, -(-size // PIECE_REFS))
-    geometry = spark.sparkContext.broadcast((inner, outer, nearest_members, pieces))
+    geometry = spark.sparkContext.broadcast((inner, outer, nearest_members, pieces, held))
     large = [F.lit(int(x)) for b in np.flatnonzero(pieces > 1) for x in (b, pieces[b])]
     piece_count = F.coalesce(F.try_element_at(F.create_map(*large), F.col("ball")), F.lit(1)) if large else F.lit(1)
     ref_pieces = balls.withColumn(
@@ -343,7 +345,7 @@ def _search_balls(
     route_schema = f"id {id_type}, vec array<double>, ball int, piece int, bound double"
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inner, outer, nearest_members, pieces = geometry.value
+        inner, outer, nearest_members, pieces, held = geometry.value
         gaps = pivots_shared.value[2]
         step = max(1, SLICE_CELLS // len(outer))
         for batch in batches:
@@ -351,10 +353,19 @@ def _search_balls(
                 part = batch.iloc[start : start + step]
                 away, slack = to_pivots(_matrix(part["vec"]))
                 home = part["ball"].to_numpy()
+                allowed = np.isfinite(outer)[None, :].repeat(len(part), axis=0)
+                if probe is not None:
+                    # balls by distance: the first ones, and more until they hold enough
+                    order = np.argsort(np.where(allowed, away, np.inf), axis=1, kind="stable")
+                    before = np.cumsum(held[order], axis=1) - held[order]
+                    early = (np.arange(len(outer)) < probe)[None, :] | (before < need)
+                    np.put_along_axis(allowed, order, early & np.take_along_axis(allowed, order, axis=1), axis=1)
                 bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in part["distances"]])
                 # where the first piece held too few, any `need` known members give a bound
                 for i in np.flatnonzero(np.isinf(bound)):
-                    through = (away[i][:, None] + nearest_members).ravel()
+                    through = (away[i][:, None] + nearest_members)[allowed[i]].ravel()
+                    if len(through) < need:
+                        continue
                     bound[i] = np.partition(through, need - 1)[need - 1] + slack[i]
                 own = away[np.arange(len(part)), home]
                 least = np.maximum(away - outer[None, :], inner[None, :] - away)
@@ -366,12 +377,7 @@ def _search_balls(
                     bisector = beyond / (gap + slack[:, None])
                 least = np.maximum(least, np.where(gap > 0, bisector, -np.inf))
                 visit = least <= (bound + slack)[:, None]
-                if probe is not None:
-                    order = np.argsort(away, axis=1, kind="stable")[:, :probe]
-                    allowed = np.zeros_like(visit)
-                    np.put_along_axis(allowed, order, True, axis=1)
-                    visit &= allowed
-                visit &= np.isfinite(outer)[None, :]
+                visit &= allowed
                 q, b = np.nonzero(visit)
                 times = pieces[b]
                 q, b = np.repeat(q, times), np.repeat(b, times)

@@ -205,6 +205,23 @@ def approximate_neighbours_recall(t: Tables) -> DataFrame:
     return rounded(neighbour_recall(exact, probed), ["recall"])
 
 
+@query(
+    f"""{CUSTOMER_SPACE_SQL}
+    select area_id as query_id, least(41, count(*) over ())::bigint as n_found, true as nearest_first, true as recall_reached
+    from scaled"""
+)
+def probed_neighbours(t: Tables) -> DataFrame:
+    """The closest eight balls, widened until 40 neighbours are held: rows found, and recall of at least 0.9."""
+    space = customer_space(t)
+    probed = cut(knn(space, "area_id", CUSTOMER_SPACE, 40, strategy="balls", probe=8))
+    recall = neighbour_recall(knn(space, "area_id", CUSTOMER_SPACE, 40), probed)
+    found = probed.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_found"),
+        ((F.min("rank") == 1) & (F.max("rank") == F.count(F.lit(1)))).alias("nearest_first"),
+    )
+    return found.withColumn("recall_reached", recall.select(F.col("recall") >= 0.9).scalar())
+
+
 @query(
     f"""{CUSTOMER_SPACE_SQL}, q as (select * from scaled where area_id = (select min(area_id) from scaled where area_name = 'Customer#000000007')),
     d as (select q.area_id as query_id, s.area_id as neighbour_id, sqrt({" + ".join(f"(s.{c} - q.{c}) ^ 2" for c in CUSTOMER_SPACE)}) as distance from scaled s, q)

@@ -114,6 +114,15 @@ def test_probing_every_ball_is_exact(spark):
     assert 0.3 < N.neighbour_recall(exact, one_ball).first()["recall"] <= 1.0
 
 
+def test_probing_widens_until_enough_are_held(spark):
+    points = clustered(7, 150, 4)
+    exact = as_dict(N.knn(frame(spark, points), "id", "v", 60))
+    probed = as_dict(N.knn(frame(spark, points), "id", "v", 60, strategy="balls", probe=1))
+    assert {i: len(found) for i, found in probed.items()} == {i: len(found) for i, found in exact.items()}
+    few = as_dict(N.knn(frame(spark, points), "id", "v", 500, strategy="balls", probe=1))
+    assert {i: len(found) for i, found in few.items()} == dict.fromkeys(exact, len(points))
+
+
 def test_all_components_keep_distances(spark):
     points = clustered(6, 80, 4)
     df = frame(spark, points).select("id", *[F.col("v")[i].alias(f"f{i}") for i in range(4)])
