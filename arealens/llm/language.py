@@ -17,7 +17,7 @@ BINS = 1 << 16
 SAMPLE = 8_000
 #: Rows of each label in the sample, in expectation; all where there are fewer.
 EACH = 200
-#: Most counts of (language, bin) that are sent to the driver and shipped; more stop the job, none are left out.
+#: Most counts of (language, bin) that are sent to the driver and shipped at once; more go in several passes.
 CELLS = 1 << 23
 #: How many pseudo-documents a level of the host hierarchy lends to the one below it.
 LEND = 20.0
@@ -70,13 +70,12 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 Model = list[tuple[float, np.ndarray, np.ndarray]]
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], Model]:
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> DataFrame:
     """Trigram model of every labelled language from a bounded sample of labelled rows.
 
     Labels are counted over all documents. The sample is whole rows: of each label the share whose
     hashed ids lie lowest, so that ``sample`` rows are expected of all and EACH of any, or all it
-    has. A language is a label with a trigram in the sample. What returns to the driver is
-    the model, its bins with counts; more than CELLS of them are an error.
+    has. A language is a label with a trigram in the sample. The model is a table of lang, bin, n.
     """
     tag = declared_tag(F.lit(None).cast("string"), F.col(label_col))
     labelled = docs.select(F.col(text_col).alias("text"), tag.alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
@@ -100,18 +99,30 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bin", "n"])
 
     counts = stored(rows.select("text", "lang").mapInArrow(count, "lang string, bin int, n long"), "language-model")
-    counts = stored(counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-counts")
-    cells = counts.count()
-    if cells > CELLS:
-        raise ValueError(f"the language model has {cells} counts, more than {CELLS}: lower sample, or clean the labels")
-    found = counts.toPandas()
-    names, model = [], []
-    for name, own in found.groupby("lang", sort=True):
+    return stored(counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-counts")
+
+
+def blocks(counts: DataFrame) -> list[list[str]]:
+    """The languages of a model in order, cut so that each block has at most CELLS counts, or one language."""
+    found: list[list[str]] = []
+    held = 0
+    for name, size in counts.groupBy("lang").count().orderBy("lang").toPandas().itertuples(index=False):
+        if not found or held + size > CELLS:
+            found.append([])
+            held = 0
+        found[-1].append(name)
+        held += size
+    return found
+
+
+def _model(counts: DataFrame, names: list[str]) -> Model:
+    model = []
+    block = counts.where(F.col("lang").between(names[0], names[-1])).toPandas()
+    for _, own in block.groupby("lang", sort=True):
         n = own["n"].to_numpy(float)
         whole = np.log(n.sum() + 0.5 * BINS)
-        names.append(name)
         model.append((float(np.log(0.5) - whole), own["bin"].to_numpy(), np.log(n + 0.5) - whole))
-    return names, model
+    return model
 
 
 def _log_likelihoods(model: Model):
@@ -134,6 +145,28 @@ def _log_likelihoods(model: Model):
     return score
 
 
+def _scores(rows: DataFrame, counts: DataFrame, names: list[list[str]]) -> DataFrame:
+    """Each row without its text, with ll (one log likelihood per language, in order), letters and trigrams.
+
+    Each block of languages takes a pass over the texts and narrow rows are joined, so that
+    driver and tasks hold one block at a time.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    schema = f"{kinds}, ll array<double>, letters long, trigrams long"
+
+    def scored(block: list[str]) -> DataFrame:
+        return stored(rows.mapInArrow(_log_likelihoods(_model(counts, block) if block else []), schema), "language-scores")
+
+    whole = scored(names[0] if names else [])
+    if len(names) < 2:
+        return whole
+    for block in names[1:]:
+        more = scored(block).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.first("ll").alias("_ll"))
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+        whole = whole.join(more, same).withColumn("ll", F.concat("ll", "_ll")).drop("_id", "_mark", "_ll")
+    return stored(whole, "language-scores")
+
+
 def _softmax(scores: Column) -> Column:
     top = F.array_max(scores)
     raised = F.transform(scores, lambda s: F.exp(s - top))
@@ -177,16 +210,16 @@ def identify(
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, label_col: str, address_col: str, least: float, sample: int) -> DataFrame:
     """``identify`` with the hash of each row's text: id, mark, language, probability, letters, accepted."""
-    names, model = fit(docs, id_col, text_col, label_col, sample)
+    counts = fit(docs, id_col, text_col, label_col, sample)
+    parts = blocks(counts)
+    names = [name for part in parts for name in part]
     host, parent, suffix = host_parts(F.col(address_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), declared_tag(text, F.col(label_col)).alias("declared"),
         host.alias("host"), parent.alias("parent"), suffix.alias("suffix"), text.alias("text"),
     )
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, mark long, declared string, host string, parent string, suffix string, ll array<double>, letters long, trigrams long"
-    scored = stored(rows.mapInArrow(_log_likelihoods(model), schema), "language-scores")
+    scored = _scores(rows, counts, parts)
     if not names:
         return scored.select("id", "mark", F.lit(None).cast("string").alias("language"),
                              F.lit(0.0).alias("probability"), "letters", F.lit(False).alias("accepted"))
@@ -195,7 +228,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, label_col: str, address
     tempered = F.transform("ll", lambda x: x * TEMPER)
     scored = scored.withColumn("p", F.when(F.col("letters") >= LETTERS, _softmax(tempered)).otherwise(spread))
 
-    def counts(*keys: str) -> DataFrame:
+    def shares(*keys: str) -> DataFrame:
         return scored.groupBy(*keys).agg(F.array(*[F.sum(F.get("p", F.lit(j))) for j in range(m)]).alias("n"))
 
     total = stored(scored.agg(F.array(*[F.sum(F.get("p", F.lit(j))) for j in range(m)]).alias("n")), "language-total").first()
@@ -206,14 +239,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, label_col: str, address
         size = F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(n, above, lambda x, q: (x + LEND * q) / (size + LEND))
 
-    by_suffix = counts("suffix").select("suffix", smooth(F.col("n"), base).alias("q_suffix"))
-    by_parent = counts("parent", "suffix").join(by_suffix, "suffix").select("parent", smooth(F.col("n"), F.col("q_suffix")).alias("q_parent"))
+    by_suffix = shares("suffix").select("suffix", smooth(F.col("n"), base).alias("q_suffix"))
+    by_parent = shares("parent", "suffix").join(by_suffix, "suffix").select("parent", smooth(F.col("n"), F.col("q_suffix")).alias("q_parent"))
     by_parent = stored(by_parent, "language-parents")
-    by_host = stored(counts("host", "parent").join(by_parent, "parent").select("host", smooth(F.col("n"), F.col("q_parent")).alias("q_host")), "language-hosts")
+    by_host = stored(shares("host", "parent").join(by_parent, "parent").select("host", smooth(F.col("n"), F.col("q_parent")).alias("q_host")), "language-hosts")
 
     def evidence(key: str, out: str) -> DataFrame:
         """log P(value | language): smoothed share of a language's documents with the value."""
-        return counts(key).select(key, F.zip_with("n", F.array(*[F.lit(float(x)) for x in grand]), lambda x, g: F.ln((x + 0.1) / (g + 1.0))).alias(out))
+        return shares(key).select(key, F.zip_with("n", F.array(*[F.lit(float(x)) for x in grand]), lambda x, g: F.ln((x + 0.1) / (g + 1.0))).alias(out))
 
     fused = (
         scored.join(by_host, "host").join(evidence("declared", "e_declared"), "declared").join(evidence("suffix", "e_suffix"), "suffix")

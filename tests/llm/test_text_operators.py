@@ -325,6 +325,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
 
 
+def test_language_models_of_several_blocks(spark, monkeypatch):
+    docs = frame(spark, [(i, ("the quick brown fox", "le renard brun rapide", "der schnelle braune fuchs")[i % 3] + f" {i % 7}") for i in range(60)] + [(7, "the end"), (7, "the end"), (None, None)])
+    docs = docs.withColumn("lang", language.F.expr("if(doc_id < 50, element_at(array('en', 'fr', 'de'), cast(doc_id % 3 + 1 as int)), null)"))
+    whole = sorted(language.identify(docs).collect(), key=str)
+    monkeypatch.setattr(language, "CELLS", 1)
+    assert len(language.blocks(language.fit(docs, "doc_id", "text", "lang"))) == 3
+    assert sorted(language.identify(docs).collect(), key=str) == whole and len(whole) == 63
+
+
 def test_language_evidence(spark):
     rows = [(i, f"<html lang='{'fr' if i % 2 else 'en'}'> {' '.join(words(i, 30))} {'le la les' if i % 2 else 'the of and'}", None, f"http://h{i}.example.{'fr' if i % 2 else 'uk'}/x") for i in range(40)]
     labelled = [(100 + i, "le chat est sur la table et les chiens" if i % 2 else "the cat is on the table and the dogs", "FR-fr" if i % 2 else "en", "x.example.fr" if i % 2 else None) for i in range(20)]
