@@ -33,7 +33,7 @@ def rollup_units(
 
     One shuffle when every unit is small enough for ``percentile``; otherwise sums and
     means are combined map-side and the quantiles of the heavy units are ranked by
-    buckets. Rows with a null key are dropped, and an all-null sum is 0.
+    ranges. Rows with a null key are dropped, and an all-null sum is 0.
     """
     rows = df.dropna(subset=list(keys))
     build = {"sum": null_safe_sum, "mean": F.avg}

@@ -76,18 +76,26 @@ def polygon_measures(
         }
     )
     tail = F.col("next_x").isNull()
-    inner = rows.filter(~tail)
-    # one row per chunk, in the partitioning the window left
-    ends = (
-        rows.filter(tail | F.col("head"))
+    moments = ("cross", "mx", "my")
+
+    def edge_sums() -> list[Column]:
+        cross = F.col("x") * F.col("next_y") - F.col("next_x") * F.col("y")
+        along = [(F.col(c) + F.col(f"next_{c}")) * cross for c in ("x", "y")]
+        return [F.coalesce(m, F.lit(0.0)).alias(name) for name, m in zip(moments, [cross, *along])]
+
+    # a chunk is its first and last vertex and the sums over its edges, in the partitioning
+    # the window left
+    chunks = (
+        rows.select("*", *edge_sums())
         .groupBy("unit", "ring", "chunk")
         .agg(
             *[F.max(F.when(F.col("head"), F.col(c))).alias(f"first_{c}") for c in ("x", "y")],
             *[F.max(F.when(tail, F.col(c))).alias(c) for c in ("x", "y")],
+            *[F.sum(m).alias(f"inner_{m}") for m in moments],
         )
     )
     in_ring = Window.partitionBy("unit", "ring").orderBy("chunk")
-    links = ends.withColumns(
+    linked = chunks.withColumns(
         {
             f"next_{c}": F.coalesce(
                 F.lead(f"first_{c}").over(in_ring), F.first(f"first_{c}").over(in_ring)
@@ -95,20 +103,10 @@ def polygon_measures(
             for c in ("x", "y")
         }
     )
-
-    def sums(edges: DataFrame) -> DataFrame:
-        cross = F.col("x") * F.col("next_y") - F.col("next_x") * F.col("y")
-        return edges.groupBy("unit").agg(
-            F.sum(cross).alias("cross"),
-            F.sum((F.col("x") + F.col("next_x")) * cross).alias("mx"),
-            F.sum((F.col("y") + F.col("next_y")) * cross).alias("my"),
-        )
-
     total = (
-        sums(inner)
-        .unionByName(sums(links))
+        linked.select("unit", *[f"inner_{m}" for m in moments], *edge_sums())
         .groupBy("unit")
-        .agg(*[F.sum(c).alias(c) for c in ("cross", "mx", "my")])
+        .agg(*[F.sum(F.col(m) + F.col(f"inner_{m}")).alias(m) for m in moments])
     )
 
     def centre(moment: str) -> Column:

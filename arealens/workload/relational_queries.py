@@ -442,11 +442,19 @@ def exact_quartiles(t: Tables) -> DataFrame:
 
 @query(QUANTILE_SQL)
 def exact_quartiles_of_huge_groups(t: Tables) -> DataFrame:
-    """The same quartiles, every group ranked by buckets as huge groups are."""
+    """The same quartiles, every group ranked by ranges as huge groups are."""
     specs = quantile_specs(["o_totalprice", "o_custkey"], QUARTILES)
     return rounded(exact_quantiles(t.orders, ["o_orderpriority"], specs, strategy="split"), list(specs), 4)
 
 
+@query(QUANTILE_SQL)
+def exact_quartiles_by_narrowing(t: Tables) -> DataFrame:
+    """The same quartiles with ranges narrowed until no task orders more than 256 values."""
+    specs = quantile_specs(["o_totalprice", "o_custkey"], QUARTILES)
+    found = exact_quantiles(t.orders, ["o_orderpriority"], specs, strategy="split", sort_rows=256)
+    return rounded(found, list(specs), 4)
+
+
 @query(
     """select round(median(c_acctbal), 4) as lati, round(median(c_custkey), 4) as long from customer"""
 )

@@ -45,6 +45,11 @@ def test_profile_reads_orders_once(spark, tables):
     assert text.count("orders.parquet") == 1
 
 
+def test_polygons_read_their_vertices_once(spark):
+    text = plan(catalog.queries()["polygon_areas"](spark, DATA))
+    assert text.count("orders.parquet") == 1 and "Join" not in text and "Union" not in text
+
+
 def test_scaling_needs_no_window_and_no_join(spark, tables):
     text = plan(zscore(tables.customer, ["c_acctbal"]))
     assert "Window" not in text and "Join" not in text and "Exchange" not in text

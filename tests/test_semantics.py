@@ -168,6 +168,25 @@ def test_quantiles_agree_with_numpy_in_every_way(spark, strategy, heavy):
     assert got["none"]["v_q50"] is None
 
 
+@pytest.mark.parametrize("sort_rows", [1, 7, 1000])
+def test_ranges_narrow_to_the_bound_and_keep_the_quantiles(spark, sort_rows, monkeypatch):
+    from arealens.operators import quantiles
+
+    ends = []
+    real = quantiles._inside
+    monkeypatch.setattr(quantiles, "_inside", lambda c, r, g: ends.append((c, r, g)) or real(c, r, g))
+    df = quantile_frame(spark).withColumn("w", -F.col("v") * F.col("v"))
+    specs = quantile_specs(["v", "w"], {"q10": 0.1, "q11": 0.11, "q50": 0.5, "max": 1.0})
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], specs, "split", sort_rows=sort_rows).collect()}
+    whole = {r["k"]: r for r in exact_quantiles(df, ["k"], specs, "percentile").collect()}
+    assert set(got) == set(whole) == {"hot", "ties", "one", "none"}
+    for key, row in whole.items():
+        assert [got[key][s] for s in specs] == pytest.approx([row[s] for s in specs], abs=1e-12, nan_ok=True) if key != "none" else got[key]["v_q50"] is None
+    # what a task orders in the end is one range
+    counts, ranges, group = next(e for e in reversed(ends) if "_ranks" in e[1].columns)
+    assert real(counts, ranges, group).groupBy(*group, "_lo").count().agg(F.max("count")).first()[0] <= sort_rows
+
+
 def test_global_quantiles(spark):
     df = spark.range(1, 102).select(F.col("id").alias("v"))
     for strategy in ("percentile", "split"):
