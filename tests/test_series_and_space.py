@@ -111,6 +111,17 @@ def test_density_matches_direct_sum_and_integrates_to_one(spark):
     assert np.trapezoid(direct, grid) == pytest.approx(1.0, abs=0.01)
 
 
+def test_density_of_ties_gaps_and_values_that_are_not_finite(spark):
+    x = np.concatenate([np.zeros(5000), np.random.default_rng(3).normal(100, 0.5, 5000), [40.25]])
+    rows = [(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),), (float("-inf"),)]
+    got = sorted(tuple(r) for r in kde(spark.createDataFrame(rows, "v double"), "v", grid=2000).collect())
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 2000)
+    direct = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert [i for i, _, _ in got] == list(range(2000))
+    assert [d for _, _, d in got] == pytest.approx(direct.tolist(), rel=1e-9, abs=1e-15)
+
+
 def test_density_of_a_constant_is_empty(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert kde(df, "v").count() == 0
