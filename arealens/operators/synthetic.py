@@ -172,6 +172,8 @@ def _fit_shared(
                     donors[keep].T, np.asarray(vec, dtype=float), grid, n_alphas, folds
                 )
                 positive = np.flatnonzero(found["weights"] > 0)
+                if not len(positive):
+                    continue
                 yield pd.DataFrame(
                     {
                         "target": [unit] * len(positive),

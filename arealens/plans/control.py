@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arealens.functions import in_period
 from arealens.operators.columns import quoted
 from arealens.operators.relational import only_in, sample_units
-from arealens.operators.series import features_long, monthly_features, rolling_rate
+from arealens.operators.series import complete_days, features_long, monthly_features, rolling_rate
 from arealens.operators.synthetic import (
     exclusions,
     fit_weights,
@@ -23,6 +23,8 @@ from arealens.operators.synthetic import (
 from arealens.session import cut
 from arealens.sources import fixed
 
+from .districts import lower_tier_table
+
 
 @dataclass(frozen=True)
 class Control:
@@ -54,6 +56,47 @@ def donor_places(
     return kept.filter(~F.col(unit).isin(list(leave_out)))
 
 
+def district_places(
+    location: DataFrame,
+    population: DataFrame,
+    prefix: str | None = "E",
+    leave_out: Sequence[str] = fixed.TINY_DISTRICTS,
+) -> DataFrame:
+    """The donor table: unit, lat, long and what the district files say of every donor.
+
+    ``population`` has bands (``districts.population_bands``). Districts without a population
+    are no donors.
+    """
+    table = lower_tier_table(location, population).withColumnRenamed("lad19cd", "unit")
+    return donor_places(table, "unit", prefix, leave_out)
+
+
+def district_control(
+    cases: DataFrame,
+    location: DataFrame,
+    population: DataFrame,
+    targets: DataFrame,
+    prefix: str | None = "E",
+    leave_out: Sequence[str] = fixed.TINY_DISTRICTS,
+    series_from: str = fixed.CONTROL_SERIES_FROM,
+    **options,
+) -> Control:
+    """Synthetic control straight from the case, location and population files.
+
+    Days on which a district has no row count no cases. ``options`` go to ``synthetic_control``.
+    """
+    places = cut(district_places(location, population, prefix, leave_out).select("unit", "lat", "long"))
+    daily = cases.filter(quoted("Area type") == "ltla").select(
+        quoted("Area code").alias("unit"),
+        quoted("Specimen date").cast("date").alias("date"),
+        quoted("Daily lab-confirmed cases").alias("cases"),
+    )
+    full = complete_days(only_in(daily, places.select("unit"), "unit"), "unit", "cases")
+    people = population.select("Code", "pop_total")
+    rates = rolling_rate(full, people, {"unit": "Code"}, "date", "cases", "pop_total", start=series_from)
+    return synthetic_control(rates, places, targets, **options)
+
+
 def pre_period_features(
     rates: DataFrame,
     value: str = "rolling_rate",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arealens.operators.relational import join_on
 from arealens.operators.neighbours import knn
 from arealens.operators.scaling import resolve_features
-from arealens.plans import areas, districts
+from arealens.plans import areas, control, districts
 from arealens.session import cut
 from arealens.sources import fixed
 
@@ -363,3 +363,104 @@ def district_neighbours(t: Tables) -> DataFrame:
     )
     space = districts.scaled_district_space(table, "lad19cd")
     return rounded(knn(space, "lad19cd", DISTRICT_SPACE, 5), ["distance"])
+
+
+@query(
+    f"""with {DISTRICT_ORDERS_SQL}, {DISTRICTS_SQL},
+    pop as (select c_nationkey, count(*) as pop_total, count(*) filter (age < 16) / count(*) as pop_00_15_prop, count(*) filter (age between 16 and 75) / count(*) as pop_16_75_prop,
+      count(*) filter (age > 75) / count(*) as pop_76_90_prop, coalesce(sum(age + 1) filter (age < 90), 0) / count(*) as age_mean from d group by 1),
+    place as (select c_nationkey, avg(long) as long, avg(lat) as lat, sum(a) as st_areashape from
+      (select c_nationkey, c_mktsegment, avg(c_acctbal) as long, avg(c_custkey) as lat, count(*) * 1e6::double as a from customer group by all) group by 1),
+    score as (select c_nationkey, {', '.join(f'sum({s} * w) / sum(w) as {s}' for s in SCORES)} from domains group by 1),
+    whole as (select *, c_nationkey::varchar as code, pop_total / (st_areashape / 1e6) as pop_density from pop join score using (c_nationkey) join place using (c_nationkey)),
+    {zscore_sql('whole', ['code'], DISTRICT_SPACE, 'plain')},
+    scaled as (select code, {", ".join(f"{c} * {fixed.DISTRICT_WEIGHTS.get(c, 1.0)} as {c}" for c in DISTRICT_SPACE)} from plain),
+    {knn_sql('scaled', 'code', DISTRICT_SPACE, 5)}
+    select query_id, neighbour_id, rank, round(distance, 6) as distance from near"""
+)
+def upper_tier_neighbours(t: Tables) -> DataFrame:
+    """Upper-tier units matched on age, deprivation and space, with some features halved."""
+    segment = F.concat_ws("-", "c_nationkey", "c_mktsegment")
+    by_district = t.customer.groupBy(segment.alias("Code"), F.col("c_nationkey").alias("parent")).agg(
+        F.avg("c_acctbal").alias("long"), F.avg("c_custkey").alias("lat"), F.count(F.lit(1)).alias("All ages")
+    )
+    lookup = join_on(by_district.select("Code", "parent"), t.nation, {"parent": "n_nationkey"}).select(
+        F.col("Code").alias("ltla19cd"), F.col("parent").cast("string").alias("utla19cd"), F.col("n_name").alias("utla19nm")
+    )
+    location = by_district.select(
+        F.col("Code").alias("lad19cd"), "long", "lat", (F.col("All ages") * 1e6).alias("st_areashape")
+    )
+    population = districts.population_bands(
+        districts.upper_tier_population(district_population(t).drop("parent"), lookup)
+    )
+    deprivation = districts.upper_tier_deprivation(
+        deprivation_domains(t), lookup.select("ltla19cd", "utla19cd"), by_district.select("Code", "All ages")
+    )
+    table = cut(districts.upper_tier_table(districts.upper_tier_location(location, lookup), population, deprivation))
+    space = districts.scaled_district_space(table, "utla19cd")
+    return rounded(knn(space, "utla19cd", DISTRICT_SPACE, 5), ["distance"])
+
+
+# ---------------------------------------------------------------- control from the district files
+LEFT_OUT = ["E1-BUILDING", "E2-MACHINERY"]
+
+
+def country_code():
+    """District codes of two countries; every fifth nation is in the second."""
+    country = F.when(F.col("c_nationkey") % 5 == 0, F.lit("W")).otherwise(F.lit("E"))
+    return F.concat(country, F.concat_ws("-", "c_nationkey", "c_mktsegment"))
+
+
+def district_files(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases per day, location and population, in the shape of the published files."""
+    located = join_on(t.orders, t.customer, {"o_custkey": "c_custkey"}).withColumn("code", country_code())
+    cases = (
+        located.groupBy("code", F.col("o_orderdate").cast("date").alias("Specimen date"))
+        .agg(F.count(F.lit(1)).alias("Daily lab-confirmed cases"))
+        .select(F.col("code").alias("Area code"), F.lit("ltla").alias("Area type"), "Specimen date", "Daily lab-confirmed cases")
+    )
+    location = t.customer.groupBy(country_code().alias("lad19cd")).agg(
+        F.avg("c_acctbal").alias("long"), F.avg("c_custkey").alias("lat"), (F.count(F.lit(1)) * 1e6).alias("st_areashape")
+    )
+    country = F.when(F.col("parent") % 5 == 0, F.lit("W")).otherwise(F.lit("E"))
+    population = district_population(t).withColumn("Code", F.concat(country, "Code"))
+    return cases, location, districts.population_bands(population)
+
+
+@query(
+    f"""with {DISTRICT_ORDERS_SQL},
+    pop as (select (case when c_nationkey % 5 = 0 then 'W' else 'E' end) || code as unit, {BANDS_SQL} from d group by 1),
+    place as (select (case when c_nationkey % 5 = 0 then 'W' else 'E' end) || c_nationkey || '-' || c_mktsegment as unit, avg(c_acctbal) as long, avg(c_custkey) as lat, count(*) as a from customer group by 1)
+    select unit, round(lat, 6) as lat, round(long, 6) as long, pop_total, pop_00_15_prop, age_mean, round(pop_total / a, 6) as pop_density
+    from pop join place using (unit) where unit like 'E%' and unit not in ({', '.join(f"'{u}'" for u in LEFT_OUT)})"""
+)
+def donor_table_of_districts(t: Tables) -> DataFrame:
+    """The districts a control may be built from, straight from the location and population files."""
+    _, location, population = district_files(t)
+    table = control.district_places(location, population, "E", LEFT_OUT)
+    kept = table.select("unit", "lat", "long", "pop_total", "pop_00_15_prop", "age_mean", "pop_density")
+    return rounded(kept, ["lat", "long", "pop_00_15_prop", "age_mean", "pop_density"])
+
+
+@query(
+    f"""select distinct 'E' || c_nationkey || '-' || c_mktsegment as target, true as exact, true as apart
+    from customer join orders on o_custkey = c_custkey where c_nationkey = 3"""
+)
+def control_from_district_files(t: Tables) -> DataFrame:
+    """Every district of one nation as a target, months of all years merged: fits meet the
+    optimality conditions and no donor is a near, foreign or listed district."""
+    cases, location, population = (cut(part) for part in district_files(t))
+    places = cut(control.district_places(location, population, "E", LEFT_OUT))
+    targets = places.filter(F.col("unit").startswith("E3-")).select("unit")
+    fitted = control.district_control(
+        cases, location, population, targets, "E", LEFT_OUT, "1993-01-01",
+        exclude=5, months_of_year=[1, 5, 6, 7, 8, 9, 10, 11, 12], l1_ratios=(0.1, 0.5, 0.9), n_alphas=21, folds=5,
+    )
+    near = knn(targets.join(places, "unit"), "unit", ["lat", "long"], 6, places, "unit", ["lat", "long"])
+    barred = near.select(F.col("query_id").alias("target"), F.col("neighbour_id").alias("donor"), F.lit(True).alias("_near"))
+    known = places.select(F.col("unit").alias("donor"), F.lit(True).alias("_known"))
+    donors = fitted.donors.join(barred, ["target", "donor"], "left").join(known, "donor", "left")
+    apart = donors.groupBy("target").agg(F.bool_and(F.col("_near").isNull() & F.col("_known").isNotNull()).alias("apart"))
+    exact = F.when(F.col("status") == "fitted", F.coalesce((F.col("kkt") < 1e-7) & ~F.col("capped"), F.lit(False)))
+    judged = fitted.status.select("target", exact.otherwise(F.col("status") == "no weight").alias("exact"))
+    return judged.join(apart, "target", "left").select("target", "exact", F.coalesce("apart", F.lit(True)).alias("apart"))
