@@ -259,3 +259,17 @@ def test_exclusions_of_listed_targets_equal_those_of_all(spark):
     wanted = {(r.target, r.excluded) for r in S.exclusions(places, "unit", "lat", "long", 4).collect() if r.target in (3, 8)}
     targets = spark.createDataFrame([(3,), (8,)], "unit long")
     assert {(r.target, r.excluded) for r in S.exclusions(places, "unit", "lat", "long", 4, targets).collect()} == wanted
+
+
+def test_a_target_without_any_weight_leaves_the_others_whole(spark):
+    from arealens.operators.synthetic import fit_weights
+
+    rng = np.random.default_rng(8)
+    donors = rng.uniform(1, 2, (4, 12))
+    rows = [(f"d{i}", [float(x) for x in v]) for i, v in enumerate(donors)]
+    rows += [("near", [float(x) for x in donors[0]]), ("none", [float(-x) for x in donors[0]])]
+    vectors = spark.createDataFrame(rows, "unit string, vec array<double>")
+    targets = spark.createDataFrame([("near",), ("none",)], "unit string")
+    barred = spark.createDataFrame([("near", "none"), ("none", "near")], "target string, excluded string")
+    found = fit_weights(vectors, targets, barred, (0.5,), 5, 3).collect()
+    assert {r["target"] for r in found} == {"near"} and all(r["weight"] > 0 for r in found)
