@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from arealens.functions import haversine_km
 from arealens.session import cut
 
-from .relational import first_per_key, join_on
+from .relational import first_per_key
 
 #: Distinct places from which a cell is divided, and halvings of an axis a step makes.
 CELL_PLACES, STEP = 32, 2
@@ -27,6 +27,7 @@ DEEPEST = 30
 #: Slack of squared chord lengths, far above the rounding of their parts.
 SLACK = 1e-12
 AXES = ("x", "y", "z")
+POINT = (*AXES, "_plat", "_plong")
 
 
 def _on_sphere(df: DataFrame, lat: str, long: str) -> DataFrame:
@@ -58,7 +59,7 @@ def cell_tree(places: DataFrame, most: int = CELL_PLACES) -> tuple[DataFrame, Da
         found = rows.groupBy("cell").agg(F.max("parent").alias("parent"), F.count(F.lit(1)).alias("n"), *bounds)
         found = cut(found.withColumn("leaf", (F.col("n") <= most) | F.lit(level >= DEEPEST)).drop("n"))
         cells.append(found)
-        marked = rows.join(found.select("cell", "leaf"), "cell")
+        marked = _joined(rows, found.select("cell", "leaf"), ["cell"])
         leaves.append(marked.where("leaf").select("cell", *AXES))
         if found.where(~F.col("leaf")).isEmpty():
             break
@@ -74,23 +75,46 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
-def _bounds_to_cell() -> tuple[Column, Column]:
+def _bounds_to_cell(cell: Column) -> tuple[Column, Column]:
     """Least and greatest squared chord from a point to the places inside a cell's bounds."""
     near, far = F.lit(0.0), F.lit(0.0)
     for a in AXES:
-        lo, hi, at = F.col(f"{a}_lo"), F.col(f"{a}_hi"), F.col(a)
+        lo, hi, at = cell[f"{a}_lo"], cell[f"{a}_hi"], F.col(a)
         out = F.greatest(lo - at, at - hi, F.lit(0.0))
         span = F.greatest(F.abs(at - lo), F.abs(hi - at))
         near, far = near + out * out, far + span * span
     return near, far
 
 
+def _measured(cell: Column) -> Column:
+    near, far = _bounds_to_cell(cell)
+    return F.struct(cell["cell"].alias("cell"), cell["leaf"].alias("leaf"), near.alias("near"), far.alias("far"))
+
+
+def _closer_children(rows: DataFrame, children: Column) -> DataFrame:
+    """One row per child, of at most 64 in ``children``, that may hold the point's nearest facility.
+
+    Within the row the children are held against each other before any of them is shuffled.
+    """
+    rows = rows.withColumn("_m", F.transform(children, _measured))
+    rows = rows.withColumn("_best", F.array_min(F.transform("_m", lambda m: m["far"])))
+    near = F.filter("_m", lambda m: m["near"] <= F.col("_best") + SLACK)
+    return rows.select(*POINT, F.explode(near).alias("_c")).select(*POINT, "_c.*")
+
+
 def _closer(frontier: DataFrame) -> DataFrame:
     """Cells that may hold a point's nearest facility: no other cell surely holds a closer one."""
-    near, far = _bounds_to_cell()
-    rows = frontier.withColumns({"_near": near, "_far": far})
-    rows = rows.withColumn("_best", F.min("_far").over(Window.partitionBy("_point")))  # few cells per point
-    return rows.where(F.col("_near") <= F.col("_best") + SLACK).select("_point", *AXES, "cell", "leaf")
+    best = F.min("far").over(Window.partitionBy(*AXES))  # few cells per point
+    return frontier.withColumn("_best", best).where(F.col("near") <= F.col("_best") + SLACK).drop("_best")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join of tables that both grow with the input, by a shuffle of both.
+
+    Spark sizes points and cells by the columns of the files behind them, which is far too small once
+    coordinates and names have been derived; it would pass them through the driver to broadcast them.
+    """
+    return left.join(right.hint("merge"), list(keys))
 
 
 def nearest_on_globe(
@@ -117,33 +141,32 @@ def nearest_on_globe(
     known = cut(known.groupBy(*AXES).agg(F.min(F.struct("_facility", "_lat", "_long")).alias("_f")))
     cells, leaves = cell_tree(known.select(*AXES), most)
     cells = cut(cells)
-    held = leaves.join(known, list(AXES)).select("cell", "_f")
+    held = _joined(leaves, known, AXES).select("cell", "_f")
 
     asked = points.where(F.col(point_id).isNotNull())
     asked = _on_sphere(asked.select(F.col(point_id).alias("_id"), F.col(point_at[0]).alias("_plat"), F.col(point_at[1]).alias("_plong")), "_plat", "_plong")
     # points at one place share their way down
     places = asked.groupBy(*AXES).agg(F.first("_plat").alias("_plat"), F.first("_plong").alias("_plong"))
-    places = cut(places.withColumn("_point", F.concat_ws(":", *AXES)))
 
     box = [f"{a}_{n}" for a in AXES for n in ("lo", "hi")]
-    below = cells.where("parent is not null").select(F.col("parent").alias("cell"), F.col("cell").alias("_child"), F.col("leaf").alias("_leaf"), *box)
+    child = F.struct("cell", "leaf", *box)
+    below = cells.where("parent is not null").groupBy(F.col("parent").alias("cell")).agg(F.collect_list(child).alias("_children"))
     root = cells.where("parent is null").select("cell", "leaf").first()
-    frontier = places.select("_point", *AXES, F.lit(root["cell"] if root else None).cast("string").alias("cell"), F.lit(True).alias("leaf"))
+    frontier = places.select(*POINT, F.lit(root["cell"] if root else None).cast("string").alias("cell"), F.lit(True).alias("leaf"))
     if root and not root["leaf"]:
-        # the root is every point's first cell: its few children are an array in the plan, not a join on one key
-        first = below.where(F.col("cell") == root["cell"]).agg(F.collect_list(F.struct(F.col("_child").alias("cell"), F.col("_leaf").alias("leaf"), *box))).scalar()
-        frontier = cut(_closer(frontier.select("_point", *AXES, F.explode(first).alias("_c")).select("_point", *AXES, "_c.*")))
+        # the root is every point's first cell: its children, 64 at most, are an array in the plan, not a join on one key
+        few = cells.where(F.col("parent") == root["cell"]).select("cell", "leaf", *box).collect()
+        first = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("cell", "leaf", *box)]) for r in few])
+        frontier = cut(_closer_children(places, first))
     while not frontier.where(~F.col("leaf")).isEmpty():
-        inner = frontier.where(~F.col("leaf")).drop("leaf").join(below, "cell")
-        inner = inner.select("_point", *AXES, F.col("_child").alias("cell"), F.col("_leaf").alias("leaf"), *box)
-        outer = frontier.where("leaf").join(cells.select("cell", *box), "cell").select("_point", *AXES, "cell", "leaf", *box)
-        frontier = cut(_closer(inner.unionByName(outer)))
-    found = frontier.join(held, "cell").join(places.select("_point", "_plat", "_plong"), "_point")
+        inner = _closer_children(_joined(frontier.where(~F.col("leaf")).select(*POINT, "cell"), below, ["cell"]), F.col("_children"))
+        frontier = cut(_closer(inner.unionByName(frontier.where("leaf"))))
+    found = _joined(frontier.select(*POINT, "cell"), held, ["cell"])
     away = haversine_km("_plat", "_plong", "_f._lat", "_f._long")
-    found = found.withColumn("distance_km", away).groupBy("_point").agg(F.min(F.struct("distance_km", "_f._facility")).alias("_n"))
-    found = asked.withColumn("_point", F.concat_ws(":", *AXES)).join(found, "_point")
+    found = found.withColumn("distance_km", away).groupBy(*AXES).agg(F.min(F.struct("distance_km", "_f._facility")).alias("_n"))
+    found = _joined(asked.select("_id", *AXES), found, AXES)
     found = found.select(F.col("_id").alias(point_id), F.col("_n._facility").alias(facility_id), "_n.distance_km")
     if not carry:
         return found
     payload = first_per_key(facilities.select(facility_id, *carry), [facility_id], list(carry))
-    return join_on(found, payload, facility_id)
+    return _joined(found, payload, [facility_id])

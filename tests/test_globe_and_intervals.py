@@ -50,6 +50,15 @@ def test_nearest_on_globe_of_odd_rows(spark):
     assert nearest_on_globe(points, "pid", ["lat", "long"], sites.limit(0), "fid", ["la", "lo"]).count() == 0
 
 
+def test_points_on_the_globe_do_not_pass_through_the_driver(spark):
+    sites = spark.createDataFrame([(i, i * 0.7 - 40.0, i * 3.0 - 170.0, f"n{i}") for i in range(100)], "fid long, la double, lo double, name string")
+    points = spark.createDataFrame([(1, 0.0, 10.0), (2, -0.0, 10.0), (3, 5.0, 5.0)], "pid long, lat double, long double")
+    found = nearest_on_globe(points, "pid", ["lat", "long"], sites, "fid", ["la", "lo"], carry=["name"], most=4)
+    assert "Broadcast" not in plan(found)
+    # one place whichever way its zero is signed
+    assert sorted(r.pid for r in found.collect()) == [1, 2, 3]
+
+
 def test_crowded_cells_are_divided(spark):
     draw = random.Random(2)
     rows = [tuple(v / 1e3 for v in (draw.gauss(0, 1), draw.gauss(0, 1), draw.gauss(0, 1))) for _ in range(2000)]
