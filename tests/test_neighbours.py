@@ -45,6 +45,34 @@ def frame(spark, points):
     return spark.createDataFrame([(i, [float(x) for x in p]) for i, p in points.items()], "id long, v array<double>")
 
 
+def test_a_query_is_sent_once_per_lot_of_balls(spark, monkeypatch):
+    # in many dimensions nearly all balls are visited; a query must not travel to each of them
+    rng = np.random.default_rng(5)
+    points = {i: p for i, p in enumerate(rng.normal(size=(400, 24)))}
+    sent = []
+    visit = N._visit
+    monkeypatch.setattr(N, "PIECE_REFS", 150)
+    monkeypatch.setattr(N, "ROUTE_CELLS", 100)
+    monkeypatch.setattr(N, "_visit", lambda routed, *rest, **how: (sent.append(routed), visit(routed, *rest, **how))[1])
+    found = as_dict(N.knn(frame(spark, points), "id", "v", 4, strategy="balls", include_self=False))
+    same(found, brute(points, 4))
+    assert max(s.count() for s in sent) <= 400 * 4
+
+
+def test_lots_hold_a_bounded_number_of_vectors(monkeypatch):
+    monkeypatch.setattr(N, "PIECE_REFS", 100)
+    rng = np.random.default_rng(6)
+    size = rng.integers(0, 40, 60)
+    size[7] = 230
+    places = rng.normal(size=(60, 2))
+    pieces = np.maximum(1, -(-size // 100))
+    gaps = np.sqrt(((places[:, None] - places[None, :]) ** 2).sum(-1))
+    lot = N._lots(size, pieces, gaps)
+    share = np.repeat(size / pieces, pieces)
+    assert lot.min() == 0 and np.bincount(lot, weights=share).max() <= 100
+    assert lot.max() + 1 <= 2 * size.sum() / 100 + 2
+
+
 @pytest.mark.parametrize("strategy", ["small", "balls"])
 @pytest.mark.parametrize("dims,k", [(2, 1), (3, 5), (12, 4)])
 def test_exact_with_copies_and_clusters(spark, monkeypatch, strategy, dims, k):
