@@ -65,11 +65,25 @@ def interval_join(df: DataFrame, at: str, intervals: DataFrame, start: str = "st
 def overlapping(intervals: DataFrame, name: str, start: str = "start", end: str = "end") -> DataFrame:
     """(first, second): pairs of intervals of different names that overlap.
 
-    Of two that do, one holds the other's start, so starts are joined with intervals.
+    Of two that do, one holds the other's start, so starts are joined with intervals. Names that stand
+    for one interval meet each pair once; only pairs with a name of several have copies to remove.
     """
-    starts = intervals.where(F.col(start) < F.col(end)).select(F.col(name).alias("second"), F.col(start).alias("_s"))
-    met = interval_join(starts, "_s", intervals.select(F.col(name).alias("first"), start, end), start, end)
-    return met.where(F.col("first") != F.col("second")).select("first", "second").distinct()
+    known = intervals.where(F.col(name).isNotNull() & (F.col(start) < F.col(end))).select(F.col(name).alias("_name"), start, end).distinct()
+    counts = known.groupBy("_name").agg((F.count(F.lit(1)) > 1).alias("_more"))
+    if counts.where("_more").isEmpty():
+        return _overlaps(known, known, start, end)
+    marked = known.join(counts, "_name")
+    once, several = marked.where(~F.col("_more")).drop("_more"), marked.where("_more").drop("_more")
+    repeated = _overlaps(known, several, start, end).unionByName(_overlaps(several, once, start, end))
+    return _overlaps(once, once, start, end).unionByName(repeated.distinct())
+
+
+def _overlaps(starts: DataFrame, intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """(first, second): ``second`` of ``starts`` begins within ``first`` of ``intervals``."""
+    # both sides are of the same kind of size: neither is broadcast on a guess from the files behind it
+    starts = starts.select(F.col("_name").alias("second"), F.col(start).alias("_s")).hint("merge")
+    met = interval_join(starts, "_s", intervals.select(F.col("_name").alias("first"), start, end), start, end)
+    return met.where(F.col("first") != F.col("second")).select("first", "second")
 
 
 def label_by_interval(

@@ -102,6 +102,24 @@ def test_labels_overlaps_and_empty_tables(spark):
     assert [r.label for r in label_by_interval(points.limit(2), "at", spans.limit(0), "name", "label").collect()] == [None, None]
 
 
+def test_overlaps_of_names_with_several_intervals_equal_brute_force(spark):
+    draw = random.Random(9)
+    spans = [(draw.randint(0, 25) if i % 3 else 100 + i, s, s + draw.choice([0, 1, 2, 5, 30])) for i in range(150) for s in [draw.randint(0, 200)]]
+    spans += spans[:40]
+    rows = spark.createDataFrame([*spans, (None, 0, 50), (7, None, 5)], "name int, start int, end int")
+    wanted = {(a, b) for a, s, e in spans for b, t, u in spans if a != b and t < u and s <= t < e}
+    found = [tuple(r) for r in overlapping(rows, "name").collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_overlaps_of_single_intervals_are_not_aggregated(spark):
+    spans = spark.createDataFrame([(i, i % 10, i % 10 + 1 + i % 4) for i in range(60)], "name int, start int, end int")
+    found = overlapping(spans.unionByName(spans), "name")
+    above_the_join = plan(found).split("SortMergeJoin")[0]
+    assert "Join" not in above_the_join and "Aggregate" not in above_the_join and "Exchange" not in above_the_join
+    assert found.count() == found.distinct().count() == sum(i != j and i % 10 <= j % 10 < i % 10 + 1 + i % 4 for i in range(60) for j in range(60))
+
+
 def test_all_levels_equal_single_levels_and_read_once(spark):
     areas = small_areas(Tables(spark, DATA))
     together = level_profiles(areas, spec=SPEC, noise_seed=None, strategy="percentile")
