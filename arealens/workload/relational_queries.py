@@ -359,10 +359,17 @@ def join_on_two_keys(t: Tables) -> DataFrame:
     shipped = t.lineitem.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("day")).agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("qty")
     )
+    # lines and orders are counted by key first, so that repeated keys never multiply rows
+    lines = t.lineitem.where(F.col("l_orderkey").isNotNull()).groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    days = (
+        t.orders.where(F.col("o_orderkey").isNotNull())
+        .groupBy("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+        .agg(F.count(F.lit(1)).alias("orders"))
+    )
     ordered = (
-        join_on(t.lineitem.select("l_suppkey", "l_orderkey"), t.orders, {"l_orderkey": "o_orderkey"})
-        .groupBy("l_suppkey", F.col("o_orderdate").cast("date").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        join_on(lines, days, {"l_orderkey": "o_orderkey"})
+        .groupBy("l_suppkey", "day")
+        .agg(F.sum(F.col("lines") * F.col("orders")).alias("n"))
     )
     return join_on(shipped, ordered, ["l_suppkey", "day"])
 

@@ -1,5 +1,7 @@
 """Physical plans: what must and must not appear at scale."""
 
+from datetime import datetime
+
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -65,6 +67,18 @@ def test_one_query_is_a_take_ordered(spark, tables):
     assert "TakeOrderedAndProject" in text
 
 
+def test_repeated_keys_do_not_multiply_rows_in_the_join_on_two_keys(spark, tmp_path):
+    days = [datetime(1995, 1, d) for d in (1, 2)]
+    orders = [(1, days[0]), (1, days[0]), (1, days[1]), (None, days[0])] * 3
+    lines = [(1, 5, 2.0, days[0]), (1, 5, 3.0, days[1]), (1, 6, 1.0, days[1]), (None, 5, 1.0, days[0]), (1, None, 1.0, days[0])] * 4
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.queries()["join_on_two_keys"](spark, str(tmp_path))
+    wanted = {(5, 1): (12, 48), (5, 2): (12, 24), (6, 2): (4, 12)}
+    assert {(r.l_suppkey, r.day.day): (r.qty, r.n) for r in found.collect()} == wanted
+    assert "Aggregate [o_orderkey#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_first_rows_combine_before_the_shuffle(spark, tables):
     text = plan(first_per_key(tables.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"]))
     assert "partial_min_by" in text and "Window" not in text
