@@ -3,7 +3,7 @@
 Two deterministic transducers do the counting. The *scanner* walks a text byte by byte and
 marks where a piece begins; the *piece* transducer walks one piece and keeps, after every
 byte, the last token of the prefix read so far, with the number of tokens as the output of its
-transitions. Long inputs are cut into chunks: each chunk's effect is a map from entry state to
+transitions; it walks many short pieces side by side. Long inputs are cut into chunks: each chunk's effect is a map from entry state to
 exit state, the maps are composed by a parallel prefix scan, and all chunks then run at once
 from their now known entry states.
 """
@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, prefixes
 
 CHUNK = 256
 #: Distinct pieces and pairs of tokens a task remembers; beyond that it starts afresh.
 PIECES, PAIRS = 1 << 21, 1 << 19
+#: Bytes of the pieces that are counted side by side; longer pieces are counted one by one, the others in lots.
+SHORT, LOT = 256, 1 << 18
+GAP = 256  # stands between pieces
 
 # Input symbols of the scanner: character kinds, some with what follows them.
 LETTER, DIGIT, OTHER, SHORT2, SHORT3, BLANK, SPACE_LAST, BLANK_LAST, INSIDE, END = range(10)
@@ -110,22 +113,36 @@ class Compiled:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {(spell(a), spell(b)): i for i, (a, b) in enumerate(merges)}
         self.longest = max(map(len, self.tokens))
+        self.names = sorted(self.tokens)
+        self.lengths = np.array([len(t) for t in self.names], np.int64)
+        self.automaton = prefixes.Automaton([np.frombuffer(t, np.uint8) for t in self.names])
+        self.fitting = prefixes.Pairs(len(self.names), PAIRS, lambda a, b: self._apart(self.names[a], self.names[b]))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.known, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.kinds = _kinds()
 
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        """Whether the encoding of a + b is exactly [a, b]; it ends with a merge across both, if there is one."""
+        parts = [bytes([c]) for c in a + b]
+        ranks = [self.ranks.get(two, sys.maxsize) for two in zip(parts, parts[1:])]
+        cut = len(a) - 1  # the pair that holds the end of a and the start of b
+        while ranks and (rank := min(ranks)) < sys.maxsize:
+            i = ranks.index(rank)
+            if i == cut:
+                return False
+            cut -= i < cut
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(ranks):
+                    ranks[k] = self.ranks.get((parts[k], parts[k + 1]), sys.maxsize)
+        return parts == [a, b]
+
     def _pair(self, a: bytes, b: bytes) -> bool:
-        """Whether the encoding of a + b is exactly [a, b]."""
         if (found := self.pairs.get((a, b))) is None:
-            parts = [bytes([c]) for c in a + b]
-            while len(parts) > 1:
-                rank, i = min((self.ranks.get((parts[i], parts[i + 1]), sys.maxsize), i) for i in range(len(parts) - 1))
-                if rank == sys.maxsize:
-                    break
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = parts == [a, b]
+            found = self.pairs[a, b] = self._apart(a, b)
         return found
 
     def count_piece(self, piece: bytes) -> int:
@@ -144,6 +161,28 @@ class Compiled:
                     break
         return count[-1]
 
+    def count_pieces(self, raw: bytes, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """Tokens of pieces raw[low:high], as ``count_piece`` has them; short ones are walked side by side."""
+        sizes = highs - lows
+        out = np.zeros(len(sizes), np.int64)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = self.count_piece(raw[lows[i] : highs[i]])
+        data = np.frombuffer(raw, np.uint8)
+        short = np.flatnonzero(sizes <= SHORT)
+        short = short[np.argsort(sizes[short], kind="stable")]  # so that few wait for long ones
+        filled = np.cumsum(sizes[short] + 1)
+        lot = filled // LOT
+        for part in np.split(short, np.flatnonzero(np.diff(lot)) + 1) if len(short) else []:
+            size = sizes[part]
+            starts = np.cumsum(size + 1) - (size + 1)
+            symbols = np.full(int(size.sum()) + len(part), GAP, np.int64)
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            symbols[np.repeat(starts, size) + inner] = data[np.repeat(lows[part], size) + inner]
+            last = prefixes.last_tokens(*self.automaton.matches(symbols), starts, size, self.fitting)
+            owner, _ = prefixes.read_back(last, self.lengths.__getitem__, starts, size)
+            out[part] = np.bincount(owner, minlength=len(part))
+        return out
+
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scanner input with an END after each text, and the added tokens found per text."""
         n, texts = len(data), len(offsets) - 1
@@ -216,7 +255,7 @@ class Compiled:
         raw, lows, highs = data.tobytes(), (start - owner)[first], (stop - owner)[first]
         sizes = np.zeros(len(distinct), np.int64)
         sizes[~missing] = self.sizes[at[~missing]]
-        sizes[new] = [self.count_piece(raw[lows[i] : highs[i]]) for i in new.tolist()]
+        sizes[new] = self.count_pieces(raw, lows[new], highs[new])
         if len(self.known) + len(new) > PIECES:
             self.known, self.sizes = distinct, sizes
         else:
