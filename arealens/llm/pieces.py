@@ -11,14 +11,14 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prefixes
+
 MARK = "▁"  # how pieces write a space
 UNKNOWN = " ⁇ "  # how an unknown id decodes
 #: Kinds of pieces in a model file.
@@ -52,19 +52,20 @@ class Pieces:
         self.kinds = np.array([p.type for p in spec.pieces], np.uint8)
         self.wide = len(spec.pieces)  # a character outside the vocabulary is a token of this plus its code point
         self.names = [p.piece for p in spec.pieces]
-        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs = prefixes.Pairs(self.wide + sys.maxunicode + 1, PAIRS, self._apart)
         self._forget()
 
-        self.automaton = ahocorasick.Automaton()
+        able = []
         self.lengths = np.zeros(self.wide, np.int64)
         self.lone = np.ones(sys.maxunicode + 1, bool)
         for piece, number in self.ids.items():
             if self._merged(piece) == [piece]:  # what merges never build cannot be a token
-                self.automaton.add_word(piece, number)
+                able.append(piece)
                 self.lengths[number] = len(piece)
                 if len(piece) == 1:
                     self.lone[ord(piece)] = False
-        self.automaton.make_automaton()
+        self.automaton = prefixes.Automaton([_points(piece) for piece in able])
+        self.able = np.array([self.ids[piece] for piece in able], np.int64)
         self.cut = _cutter(self.ids)
         used = set("".join(self.ids))
         self.gap = next(chr(c) for c in range(sys.maxunicode, 0, -1) if chr(c) not in used)
@@ -82,20 +83,31 @@ class Pieces:
             return b""
         return (UNKNOWN if number == self.unknown else piece.piece.replace(MARK, " ")).encode()
 
-    def _merged(self, text: str) -> list[str]:
-        """The encoding of a short text by its definition: best score first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def _merged(self, text: str, cut: int = -1) -> list[str] | None:
+        """The encoding of a short text by its definition: best score first, then leftmost.
+
+        None as soon as a merge reaches across ``cut``.
+        """
+        parts, none = list(text), float("-inf")
+        scores = [self.scores.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        cut -= 1  # the pair that holds the characters on both sides
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            if i == cut:
+                return None
+            cut -= i < cut
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(scores):
+                    scores[k] = self.scores.get(parts[k] + parts[k + 1], none)
         return parts
 
+    def _apart(self, before: int, after: int) -> bool:
+        """Whether two tokens side by side encode as just these two."""
+        a, b = self._name(before), self._name(after)
+        return self._merged(a + b, len(a)) == [a, b]
+
     def _forget(self) -> None:
         """Start the memory of stretches afresh."""
         self.known: dict[str, int] = {}
@@ -105,75 +117,24 @@ class Pieces:
     def _name(self, token: int) -> str:
         return self.names[token] if token < self.wide else chr(token - self.wide)
 
-    def _follow(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Whether each token ``after`` may come behind ``before``: together they encode as just these two."""
-        span = self.wide + sys.maxunicode + 1
-        keys, back = np.unique(before * span + after, return_inverse=True)
-        at = np.searchsorted(self.pair_keys, keys)
-        fits = np.zeros(len(keys), bool)
-        inside = at < len(self.pair_keys)
-        hit = np.zeros(len(keys), bool)
-        hit[inside] = self.pair_keys[at[inside]] == keys[inside]
-        fits[hit] = self.pair_fits[at[hit]]
-        new = np.flatnonzero(~hit)
-        for i in new.tolist():
-            a, b = (self._name(int(t)) for t in divmod(int(keys[i]), span))
-            fits[i] = self._merged(a + b) == [a, b]
-        if len(self.pair_keys) + len(new) > PAIRS:
-            self.pair_keys, self.pair_fits = keys, fits
-        elif len(new):
-            self.pair_keys = np.insert(self.pair_keys, at[new], keys[new])
-            self.pair_fits = np.insert(self.pair_fits, at[new], fits[new])
-        return fits[back]
-
     def _tokens(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(owner, token) of stretches, in order, by the tables of their prefixes' last tokens.
 
-        Merging works on the best pair wherever it stands, so a row of tokens is an encoding
-        exactly when each neighbouring two are. The encoding of a prefix hence ends in the one
-        token that fits the last token of what lies before it. All stretches are filled at the
-        same time, place by place, then read backwards from their ends.
+        All stretches are filled at the same time, place by place, then read backwards from their ends.
         """
         sizes = np.array([len(s) for s in stretches], np.int64)
         starts = np.cumsum(sizes + 1) - (sizes + 1)
-        joined = self.gap.join(stretches)
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = _points(self.gap.join(stretches))
+        start, length, word = self.automaton.matches(points)
         single = self.lone[points]
         single[(starts[1:] - 1)] = False
         single = np.flatnonzero(single)
-        end = np.concatenate([found[:, 0] + 1, single + 1])
-        token = np.concatenate([found[:, 1], points[single].astype(np.int64) + self.wide])
-        length = np.concatenate([self.lengths[found[:, 1]], np.ones(len(single), np.int64)])
-        place = end - starts[np.searchsorted(starts, end - 1, "right") - 1]
-        order = np.argsort(place, kind="stable")
-        end, token, length = end[order], token[order], length[order]
-        cuts = np.searchsorted(place[order], np.arange(1, int(sizes.max()) + 2))
-        last = np.full(len(joined) + 1, -1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            stop, begin = end[a:b], end[a:b] - length[a:b]
-            before = last[begin]
-            fits = before < 0
-            fits[fits] = self._starts(begin[fits], starts)
-            later = np.flatnonzero(before >= 0)
-            fits[later] = self._follow(before[later], token[a:b][later])
-            last[stop[fits]] = token[a:b][fits]
-        active, at, owners, tokens = np.arange(len(stretches)), starts + sizes, [], []
-        while len(active):
-            one = last[at]
-            owners.append(active)
-            tokens.append(one)
-            at = at - np.where(one < self.wide, self.lengths[np.minimum(one, self.wide - 1)], 1)
-            more = at > starts[active]
-            active, at = active[more], at[more]
-        owner, out = np.concatenate(owners)[::-1], np.concatenate(tokens)[::-1]
-        order = np.argsort(owner, kind="stable")
-        return owner[order], out[order]
-
-    @staticmethod
-    def _starts(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(starts, places), len(starts) - 1)
-        return starts[at] == places
+        start = np.concatenate([start, single])
+        length = np.concatenate([length, np.ones(len(single), np.int64)])
+        token = np.concatenate([self.able[word], points[single].astype(np.int64) + self.wide])
+        last = prefixes.last_tokens(start, length, token, starts, sizes, self.pairs)
+        widths = lambda one: np.where(one < self.wide, self.lengths[np.minimum(one, self.wide - 1)], 1)
+        return prefixes.read_back(last, widths, starts, sizes)
 
     def _learn(self, stretches: list[str]) -> None:
         """Encode stretches and remember them."""
@@ -241,6 +202,10 @@ class Pieces:
         return b"".join([*out, raw[done:]])
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _valid(raw: bytes) -> bytes:
     """UTF-8 with every byte that belongs to no character replaced."""
     out, i = [], 0

@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 from tokenizers import Tokenizer
 
-from arealens.llm import catalog, prefixes, tokens
+from arealens.llm import catalog, pieces, prefixes, tokens
 
 BYTES = str(public_tokenizers.path(catalog.TOKENIZER))
+MODEL = str(public_tokenizers.path(catalog.PIECE_MODEL))
 
 
 def odd_words(seed: int) -> list[str]:
@@ -53,3 +55,20 @@ def test_side_by_side_equals_one_by_one():
     ends = np.cumsum([len(w) for w in raw])
     starts = ends - [len(w) for w in raw]
     assert machine.count_pieces(b"".join(raw), starts, ends).tolist() == [machine.count_piece(w) for w in raw]
+
+
+def test_pairs_beyond_the_memory(monkeypatch):
+    words = odd_words(4)
+    monkeypatch.setattr(pieces, "PAIRS", 16)
+    small, library = pieces.Pieces(pieces.read_model(MODEL)), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ends, ids = small.encode(words)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(w) for w in words]
+
+
+def test_a_merge_across_ends_the_pair_test():
+    tables = pieces.Pieces(pieces.read_model(MODEL))
+    short = [p for p in tables.ids if 1 < len(p) < 8][:2000]
+    for a, b in zip(short, short[1:]):
+        apart = tables._merged(a + b) == [a, b]
+        assert tables._apart(tables.ids[a], tables.ids[b]) == apart
+    assert tables._merged("the", 1) is None and tables._merged("the", 0) == tables._merged("the")
