@@ -59,6 +59,24 @@ def test_a_query_is_sent_once_per_lot_of_balls(spark, monkeypatch):
     assert max(s.count() for s in sent) <= 400 * 4
 
 
+def test_distances_to_pivots_are_held_in_slices(spark, monkeypatch):
+    # a batch of vectors by all pivots at once would grow with the number of pivots
+    cells, plain = 3000, N._distances
+
+    def checked(a, b):
+        assert len(a) * len(b) <= cells, f"{len(a)} x {len(b)} distances at once"
+        return plain(a, b)
+
+    points = {i: p for i, p in enumerate(np.random.default_rng(7).normal(size=(900, 3)))}
+    wanted = brute(points, 3)
+    monkeypatch.setattr(N, "ROUTE_CELLS", cells, raising=False)
+    monkeypatch.setattr(N, "_distances", checked)
+    one_batch = frame(spark, points).coalesce(1)
+    same(as_dict(N.knn(one_batch, "id", "v", 3, strategy="balls", include_self=False)), wanted)
+    probed = N.knn(one_batch, "id", "v", 3, strategy="balls", include_self=False, probe=2)
+    assert {len(found) for found in as_dict(probed).values()} == {3}
+
+
 def test_lots_hold_a_bounded_number_of_vectors(monkeypatch):
     monkeypatch.setattr(N, "PIECE_REFS", 100)
     rng = np.random.default_rng(6)
