@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import near_groups, passages
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arealens.llm import catalog, exact, jaccard, substrings, tokens
+from arealens.llm import arrays, catalog, exact, jaccard, substrings, tokens
 
 
 def near_copies(n: int, words: int, edits: int, seed: int = 1) -> dict[int, str]:
@@ -86,3 +88,57 @@ def test_exact_stage_loses_no_text_when_ids_repeat(spark):
         got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in found.collect())
         assert got == sorted([(1, 3, 3), (1, 1, 2), (3, 3, 3), (4, 4, 2), (4, 4, 2), (5, 5, 1), (0, 1, 2), (0, 3, 3), (6, 7, 2), (7, 7, 2)])
     assert exact.drop_exact(frame.limit(0)).count() == 0 and F is not None
+
+
+def test_texts_move_only_for_pairs_whose_marks_allow_a_link(spark, monkeypatch):
+    seen, overlaps = spark.sparkContext.accumulator(0), jaccard._overlaps
+
+    def counted(width):
+        inner = overlaps(width)
+
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from inner(noted())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_overlaps", counted)
+    for n in (50, 150):  # n-grams held by fewer and by more documents than HEAVY
+        texts = near_copies(n, 300, 5)  # any two share about 0.71 of their shingles, and most of the rarest
+        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame).collect()}
+        assert found == near_groups(texts)
+    assert seen.value <= 100, seen.value
+
+
+def test_marks_rule_out_no_link():
+    draw = random.Random(5)
+    for _ in range(60):
+        base = [f"w{draw.randrange(50)}" for _ in range(draw.randrange(1, 90))]
+        texts = []
+        for _ in range(6):
+            text = list(base)
+            for _ in range(draw.randrange(4)):
+                text[draw.randrange(len(text))] = f"x{draw.randrange(99)}"
+            texts.append(" ".join(text + ["z"] * draw.randrange(3)).encode())
+        owner, grams = arrays.shingles(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]), 5)
+        sets, n = [set(grams[owner == i].tolist()) for i in range(6)], np.bincount(owner, minlength=6)
+        marks = jaccard._marks(owner, grams, n)
+        i, j = np.divmod(np.arange(36), 6)
+        kept = jaccard._may_link(i, j, n, n, marks, marks, 80)
+        links = [100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in zip(i, j)]
+        assert not (np.array(links) & ~kept).any()
+
+
+def test_grams_of_several_ids_in_one_pass():
+    for seed in range(200):
+        draw = random.Random(seed)
+        rows = sorted((draw.randrange(6), draw.randrange(4)) for _ in range(draw.randrange(1, 25)))
+        cuts = sorted(draw.randrange(len(rows) + 1) for _ in range(draw.randrange(5)))
+        batches = [pa.RecordBatch.from_pylist([{"id": i, "gram": g} for g, i in rows[a:b]], pa.schema([("id", pa.int64()), ("gram", pa.int64())])) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        found = [(r["gram"], r["id"]) for b in jaccard._held_twice(iter(batches)) for r in b.to_pylist()]
+        assert found == [r for r in sorted(set(rows)) if len({i for g, i in rows if g == r[0]}) > 1]
