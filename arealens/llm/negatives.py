@@ -23,9 +23,9 @@ FANOUT, LEAF = 16, 2048
 #: Rows the split points are drawn from (about, by hash share), and numbers in them at most.
 SAMPLE, CELLS = 16384, 1 << 21
 #: Rows and queries that meet in one task.
-PIECE, BLOCK = 4096, 2048
-#: Queries multiplied at once inside a task.
-QUERIES = 256
+PIECE, BLOCK = 16384, 8192
+#: Queries multiplied at once inside a task, visits of queries handed on at once, and leaves found at once.
+QUERIES, VISITS, ROUTES = 256, 8192, 1 << 18
 LEAST, MOST = -(1 << 62), 1 << 62
 
 
@@ -74,8 +74,17 @@ class Tree:
                 self.children[node] = [self._grow(rows[near == j], leaf, fanout) for j in range(len(chosen))]
                 return node
         self.leaves += 1
+        self.lots = np.arange(self.leaves)
         return -self.leaves
 
+    def gather(self, sizes: np.ndarray) -> None:
+        """Lots of leaves next to each other, of PIECE rows at most unless one leaf has more; ``sizes`` by leaf."""
+        lot = filled = 0
+        for leaf, n in enumerate(sizes.tolist()):
+            if filled and filled + n > PIECE:
+                lot, filled = lot + 1, 0
+            self.lots[leaf], filled = lot, filled + n
+
     def place(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Leaf of every row; widens the ranges ``low`` and ``high`` by them.
 
@@ -158,24 +167,28 @@ def _placed(tree: Tree):
 
 
 def _routed(tree: Tree, home: bool):
-    """Tasks: queries, once for each leaf they visit: their own one, or all others in reach."""
+    """Tasks: queries, once for each lot of leaves they visit: that of their own leaf, or all others in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = _matrix(batch.column("vector"), tree.dim)
-            own = tree.home(vectors)
-            query, leaf = np.arange(batch.num_rows), own
-            if not home:
-                windows = batch.column("windows")
-                owner = np.repeat(np.arange(batch.num_rows), windows.value_lengths().to_numpy(zero_copy_only=False))
-                flat = windows.flatten()
-                bounds = [flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("low", "high")]
-                window, leaf = tree.route(vectors[owner], *bounds)
-                both = np.unique(owner[window] * np.int64(max(1, tree.leaves)) + leaf)
-                query, leaf = np.divmod(both, max(1, tree.leaves))
-                query, leaf = query[leaf != own[query]], leaf[leaf != own[query]]
-            rows = batch.take(pa.array(query))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(leaf.astype(np.int32))], [*rows.schema.names, "leaf"])
+        at_once = max(1, ROUTES // max(1, tree.leaves))
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                vectors = _matrix(batch.column("vector"), tree.dim)
+                own = tree.lots[tree.home(vectors)]
+                query, lot = np.arange(batch.num_rows), own
+                if not home:
+                    windows = batch.column("windows")
+                    owner = np.repeat(np.arange(batch.num_rows), windows.value_lengths().to_numpy(zero_copy_only=False))
+                    flat = windows.flatten()
+                    bounds = [flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("low", "high")]
+                    window, leaf = tree.route(vectors[owner], *bounds)
+                    both = np.unique(owner[window] * np.int64(max(1, tree.leaves)) + tree.lots[leaf])
+                    query, lot = np.divmod(both, max(1, tree.leaves))
+                    query, lot = query[lot != own[query]], lot[lot != own[query]]
+                for i in range(0, len(query), VISITS):
+                    rows = batch.take(pa.array(query[i : i + VISITS]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lot[i : i + VISITS].astype(np.int32))], [*rows.schema.names, "lot"])
 
     return run
 
@@ -219,33 +232,36 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 
 
 def _visit(queries: DataFrame, rows: DataFrame, sizes: DataFrame, tree: Tree, home: bool, whole: bool, same: bool, k: int) -> DataFrame:
-    """(anchor, key, other, score): the first k rows of every window, per leaf piece visited.
+    """(anchor, key, other, score): the first k rows of every window, per piece of a lot visited.
 
-    A leaf is cut to pieces of rows and blocks of queries; every piece meets every block in a task.
+    A lot is cut to pieces of rows and blocks of queries; every piece meets every block in a task.
+    Queries are spread over all tasks before they are routed, and handed on a few visits at a time.
     """
-    kind = queries.schema
+    kind, spark = queries.schema, queries.sparkSession
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
-    routed = stored(queries.mapInArrow(_routed(tree, home), f"{names}, leaf int"), "negatives-visits")
-    cuts = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(sizes, "leaf")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    routed = queries.repartition(tasks, "id").mapInArrow(_routed(tree, home), f"{names}, lot int")
+    routed = stored(routed, "negatives-visits")
+    cuts = routed.groupBy("lot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(sizes, "lot")
     cuts = stored(cuts, "negatives-cuts")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     windows = queries.schema["windows"].dataType.simpleString()
-    left = rows.join(cuts, "leaf").select(
-        "leaf", deal("pieces").alias("piece"), spread("blocks").alias("block"), F.lit(0).alias("side"), "id", "label", "vector", F.lit(None).cast(windows).alias("windows")
+    left = rows.join(cuts, "lot").select(
+        "lot", deal("pieces").alias("piece"), spread("blocks").alias("block"), F.lit(0).alias("side"), "id", "label", "vector", F.lit(None).cast(windows).alias("windows")
     )
-    right = routed.join(cuts, "leaf").select(
-        "leaf", spread("pieces").alias("piece"), deal("blocks").alias("block"), F.lit(1).alias("side"), "id", "label", "vector", "windows"
+    right = routed.join(cuts, "lot").select(
+        "lot", spread("pieces").alias("piece"), deal("blocks").alias("block"), F.lit(1).alias("side"), "id", "label", "vector", "windows"
     )
-    met = left.unionByName(right).groupBy("leaf", "piece", "block")
+    met = left.unionByName(right).groupBy("lot", "piece", "block")
     return met.applyInArrow(_best(tree.dim, whole, same, k), "anchor long, key long, other long, score long")
 
 
 def _search(queries: DataFrame, rows: DataFrame, sizes: DataFrame, tree: Tree, whole: bool, same: bool, k: int) -> DataFrame:
     """(anchor, key, other, score, rank): the first k rows of every window of every query, exactly.
 
-    The query's own leaf first; a window that is full there narrows to the scores that can
-    still enter it before the other leaves are chosen.
+    The lot of the query's own leaf first; a window that is full there narrows to the scores that can
+    still enter it before the others are chosen.
     """
     near = stored(_first(_visit(queries, rows, sizes, tree, True, whole, same, k), k), "negatives-near")
     full = near.where(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("key", "score"))).alias("full"))
@@ -276,8 +292,9 @@ def hard_negatives(
     ``low`` and ``high`` per cent of the positive's.
 
     The tree's split points come from a sample of about ``SAMPLE`` rows; every row is placed and
-    every range covers all rows. Leaves hold about ``leaf`` rows and are searched in
-    pieces, so that they may be of any size. Nothing is approximate.
+    every range covers all rows. Leaves hold about ``leaf`` rows. A query goes once to each lot of
+    leaves next to each other; larger leaves are searched in pieces, so that they may be of any
+    size. Nothing is approximate.
 
     Rows with a null id, label or vector, or with a null or non-finite component, take no part. Of rows
     that share an id the one with the smallest label, then vector, takes part. Shorter vectors count as
@@ -309,8 +326,13 @@ def hard_negatives(
     placed = stored(rows.mapInArrow(_placed(tree), f"{names}, leaf int, slot int, low double, high double"), "negatives-placed")
     for r in placed.where("slot is not null").groupBy("slot").agg(F.min("low"), F.max("high")).toLocalIterator():  # a fixed number per node
         tree.low[r[0]], tree.high[r[0]] = r[1], r[2]
-    rows = placed.where("slot is null").select("id", "label", "vector", "leaf")
-    sizes = stored(rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")), "negatives-leaves")
+    filled = np.zeros(max(1, tree.leaves), np.int64)
+    for r in placed.where("slot is null").groupBy("leaf").count().toLocalIterator():  # one row per leaf
+        filled[r[0]] = r[1]
+    tree.gather(filled)
+    lots = F.split(F.lit(",".join(map(str, tree.lots))), ",").cast("array<int>")  # a constant of the plan
+    rows = placed.where("slot is null").select("id", "label", "vector", F.get(lots, F.col("leaf")).alias("lot"))
+    sizes = stored(rows.groupBy("lot").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")), "negatives-lots")
 
     window = lambda key, a, b: F.struct(key.cast("long").alias("key"), a.cast("long").alias("low"), b.cast("long").alias("high"))
     anchors = placed.where("slot is null and anchor").select("id", "label", "vector")

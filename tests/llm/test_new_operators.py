@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -149,3 +150,31 @@ def test_hard_negatives_of_odd_rows(spark):
     found = negatives.hard_negatives(frame, F.col("vec_id") == 0).collect()
     assert sorted((r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in found) == [(1, 1, 2, 65536, 32768)]
     assert negatives.hard_negatives(frame.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_visits_are_handed_on_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(negatives, "VISITS", 100)
+    monkeypatch.setattr(negatives, "ROUTES", 2000)
+    monkeypatch.setattr(negatives, "PIECE", 100)
+    draw = np.random.default_rng(3)
+    rows, queries = draw.integers(-50, 50, (3000, 32)).astype(float), draw.integers(-50, 50, (300, 32)).astype(float)
+    tree = negatives.Tree(rows, 30)
+    leaves = tree.place(rows, tree.low, tree.high)
+    tree.gather(np.bincount(leaves, minlength=tree.leaves))
+    assert tree.leaves > 20
+    windows = [[{"key": 0, "low": -(10**6), "high": 0}, {"key": 1, "low": 5000, "high": 10**6}]] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(queries.tolist()), pa.array(windows)], ["id", "vector", "windows"])
+    for home in (True, False):
+        parts = list(negatives._routed(tree, home)(iter([batch])))
+        assert max(p.num_rows for p in parts) <= 100
+        visits = [(i, lot) for p in parts for i, lot in zip(p.column("id").to_pylist(), p.column("lot").to_pylist())]
+        assert len(set(visits)) == len(visits)
+        own = tree.lots[tree.home(queries)]
+        scores = queries @ rows.T
+        wanted = {(i, own[i]) for i in range(300)}
+        if not home:
+            q, r = np.nonzero((scores <= 0) | (scores >= 5000))
+            wanted = {v for v in zip(q.tolist(), tree.lots[leaves[r]].tolist()) if v[1] != own[v[0]]}
+        assert wanted <= set(visits)
+    tree.gather(np.full(tree.leaves, negatives.PIECE // 3))
+    assert np.bincount(tree.lots).max() == 3
